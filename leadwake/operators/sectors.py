@@ -132,8 +132,8 @@ def coverage_gaps(table: DataFrame, needs: DataFrame) -> DataFrame:
             .filter(F.col("hi") >= F.col("start")))
     seq = W.partitionBy("instrument", "start", "end").orderBy("lo", "hi")
     reach = F.max("hi").over(seq.rowsBetween(W.unboundedPreceding, -1))
-    cursor = F.greatest(F.col("start"), F.date_add(F.least(reach, F.lit("9999-12-30").cast("date")), 1))
-    swept = rows.withColumn("cursor", F.coalesce(cursor, F.col("start")))
+    after = F.date_add(F.least(reach, F.lit("9999-12-30").cast("date")), 1)
+    swept = rows.withColumn("cursor", F.when(reach.isNull(), F.col("start")).otherwise(F.greatest("start", after)))
     inner = (swept.filter((F.col("cursor") <= F.col("end")) & (F.col("lo") > F.col("cursor")))
              .select("instrument", F.col("cursor").alias("start"),
                      F.least(F.date_sub("lo", 1), F.col("end")).alias("end")))

@@ -222,6 +222,7 @@ SELECT * EXCLUDE (m, rk, cut), coalesce(rk <= cut, false) AS approved FROM (
 
 
 define("x_ctl", bh("x_net", "win", 0.35))
+define("x_tranked", """
+SELECT *, row_number() OVER (PARTITION BY win ORDER BY t_stat DESC NULLS LAST, leader, follower) AS tr FROM x_ctl WHERE beta > 0""")
 define("x_chosen", """
-SELECT *, unnest(list_filter([CASE WHEN approved THEN 'fdr' END, CASE WHEN tr <= 8 THEN 'top_k' END], x -> x IS NOT NULL)) AS rule
-FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY t_stat DESC NULLS LAST, leader, follower) AS tr FROM x_ctl WHERE beta > 0)""")
+SELECT *, 'fdr' AS rule FROM x_tranked WHERE approved UNION ALL SELECT *, 'top_k' AS rule FROM x_tranked WHERE tr <= 8""")

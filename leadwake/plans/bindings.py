@@ -13,7 +13,8 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from leadwake.config import (DEFAULTS, Discovery, LeadLag, Liquidity, Period, Settings, StalePrice)
+from leadwake.config import (DEFAULTS, Discovery, LeadLag, Liquidity, Metrics, Period, Placebo, Settings, StalePrice,
+                             Strategy)
 from leadwake.operators import sessions
 
 # The study period and the thresholds that fit monthly bars of the given tables.
@@ -26,6 +27,9 @@ MONTHLY = replace(
     lead_lag=LeadLag(min_observations=12, hac_lags=2),
     stale=StalePrice(min_trades=2),
     discovery=Discovery(q=0.35, top_k=8),
+    strategy=Strategy(volatility_window=12),
+    metrics=Metrics(bootstrap_replicates=1000, bootstrap_block=5),
+    placebo=Placebo(replicates=40),
 )
 MIN_INSTRUMENTS = 5
 

@@ -56,10 +56,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 _SPARK = {"s": lambda c: c.cast("string"), "d": lambda c: c.cast("date").cast("string"), "i": lambda c: c.cast("long"),
-          "b": lambda c: c.cast("int"), "f": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0),
-          "g": lambda c: F.round(c.cast("double"), 4) + F.lit(0.0)}
+          "b": lambda c: c.cast("int"), "f": lambda c: F.floor(c.cast("double") * 1e6 + 0.5) / 1e6,
+          "g": lambda c: F.floor(c.cast("double") * 1e4 + 0.5) / 1e4}
 _SQL = {"s": "CAST({c} AS VARCHAR)", "d": "CAST(CAST({c} AS DATE) AS VARCHAR)", "i": "CAST({c} AS BIGINT)",
-        "b": "CAST({c} AS INTEGER)", "f": "round(CAST({c} AS DOUBLE), 6) + 0.0", "g": "round(CAST({c} AS DOUBLE), 4) + 0.0"}
+        "b": "CAST({c} AS INTEGER)", "f": "floor(CAST({c} AS DOUBLE) * 1e6 + 0.5) / 1e6",
+        "g": "floor(CAST({c} AS DOUBLE) * 1e4 + 0.5) / 1e4"}
 
 
 def _columns(cols: str):

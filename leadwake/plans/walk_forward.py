@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadwake.config import Settings
-from leadwake.operators import discovery, pairs as pair_ops, regression, returns, sessions, universe
+from leadwake.operators import discovery, pairs as pair_ops, placebo, positions, regression, returns, sessions, universe
 from leadwake.session import materialize
 
 
@@ -91,3 +91,71 @@ class Study:
     @cached_property
     def selected(self) -> DataFrame:
         return discovery.select_pairs(self.controlled, cfg=self.cfg.discovery)
+
+    # ---- placebo ---------------------------------------------------------------------------
+
+    @cached_property
+    def ordered_betas(self) -> DataFrame:
+        """Betas of every ordered pair of the groups: real pairs and all shuffles look up here."""
+        every = pair_ops.ordered_pairs(self.selection_with_sector, self.cfg.liquidity.bands)
+        sliced = regression.member_returns(self.estimation, every, self.windows)
+        c = self.cfg.lead_lag
+        return regression.batch_betas(sliced, every, c.lag, c.min_observations)
+
+    def placebo(self, replicates: int | None = None) -> tuple[DataFrame, DataFrame]:
+        c = self.cfg.placebo
+        betas = materialize(self.ordered_betas)
+        shuffled = placebo.shuffled_pairs(self.pairs, replicates or c.replicates, self.cfg.seed, c.max_attempts)
+        dist = placebo.placebo_distribution(shuffled, betas)
+        real = self.pairs.select("window", "leader", "follower").join(betas, ["window", "leader", "follower"], "left")
+        return dist, placebo.placebo_summary(dist, real)
+
+    # ---- positions and P&L -------------------------------------------------------------------
+
+    @cached_property
+    def last_pos(self):
+        return self.calendar.agg(F.max("pos")).scalar()
+
+    @cached_property
+    def marked(self) -> DataFrame:
+        """Marked returns of the members on every session from their first price on."""
+        rows = returns.marked_returns(self.member_panel).select("instrument", "pos", "ret", "close")
+        return returns.fill_sessions(rows, self.last_pos, ("ret",))
+
+    @cached_property
+    def volatility(self) -> DataFrame:
+        return returns.realized_volatility(self.marked, self.cfg.strategy.volatility_window,
+                                           self.cfg.costs.days_per_year)
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return positions.daily_signals(self.selected, self.estimation, self.volatility, self.windows, self.cfg.strategy)
+
+    @cached_property
+    def cohorts(self) -> DataFrame:
+        return positions.cohort_weights(self.signals, self.cfg.strategy)
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        """Written once: P&L, turnover, exposure and crossings all start here."""
+        return materialize(positions.overlapping_positions(
+            self.cohorts, self.calendar, self.cfg.strategy, self.cfg.walk_forward.execution_lag))
+
+    @cached_property
+    def book(self) -> DataFrame:
+        return positions.with_costs(
+            positions.daily_book(self.positions, self.marked, self.calendar), self.cfg.costs)
+
+    @cached_property
+    def boundaries(self) -> DataFrame:
+        return returns.event_boundaries(self.member_panel)
+
+    def summary(self) -> DataFrame:
+        """Totals per (rule, mode), with event crossings of the held positions."""
+        totals = self.book.groupBy("rule", "mode").agg(
+            F.sum("gross_pnl").alias("gross_total"), F.sum("net_pnl").alias("net_total"),
+            F.avg("turnover").alias("mean_turnover"), F.sum("missing_returns").alias("missing_returns"))
+        hit = self.boundaries.filter("boundary").select("date", "instrument", F.lit(1).alias("hit"))
+        crossed = (self.positions.filter(F.col("weight") != 0).join(hit, ["date", "instrument"], "left")
+                   .groupBy("rule", "mode").agg(F.count(F.lit(1)).alias("position_days"), F.count("hit").alias("crossings")))
+        return totals.join(crossed, ["rule", "mode"], "left")
