@@ -168,8 +168,8 @@ def drop_stale(returns: DataFrame, stale: DataFrame) -> DataFrame:
     session is absent is already null.
     """
     seq = W.partitionBy("window", "instrument").orderBy("pos")
-    marked = stale.select("window", "instrument", "pos", "stale")
-    joined = returns.join(marked, ["window", "instrument", "pos"], "left")
     before = F.when(F.lag("pos").over(seq) == F.col("pos") - 1, F.lag("stale").over(seq))
-    bad = F.coalesce(F.col("stale"), F.lit(False)) | F.coalesce(before, F.lit(False))
-    return joined.withColumn("ret", F.when(~bad, F.col("ret"))).drop("stale")
+    marked = stale.select("window", "instrument", "pos", (
+        F.col("stale") | F.coalesce(before, F.lit(False))).alias("bad"))
+    joined = returns.join(marked, ["window", "instrument", "pos"], "left")
+    return joined.withColumn("ret", F.when(~F.coalesce("bad", F.lit(False)), F.col("ret"))).drop("bad")

@@ -12,6 +12,9 @@ from leadwake.oracle.ctes import resolve
 from leadwake.plans import bindings as b
 
 
+_STUDIES: dict = {}
+
+
 class Context:
     """The domain tables of one folder of test data, each a lazy plan."""
 
@@ -23,9 +26,13 @@ class Context:
 
     cfg = b.MONTHLY
 
-    @cached_property
+    @property
     def study(self):
-        return b.study(self.spark, self.sf)
+        """Stage tables are stored once per session and data folder and then shared by queries."""
+        key = (self.spark.sparkContext.applicationId, self.sf)
+        if key not in _STUDIES:
+            _STUDIES[key] = b.study(self.spark, self.sf)
+        return _STUDIES[key]
 
     @cached_property
     def windows(self) -> DataFrame:

@@ -40,7 +40,7 @@ class Study:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return sessions.session_calendar(self.quotes.select("date", "instrument"), self.min_instruments)
+        return materialize(sessions.session_calendar(self.quotes.select("date", "instrument"), self.min_instruments))
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -48,7 +48,7 @@ class Study:
 
     @cached_property
     def selection(self) -> DataFrame:
-        return universe.select_universe(self.quotes, self.windows, self.cfg.liquidity)
+        return materialize(universe.select_universe(self.quotes, self.windows, self.cfg.liquidity))
 
     @cached_property
     def selection_with_sector(self) -> DataFrame:
@@ -76,7 +76,7 @@ class Study:
 
     @cached_property
     def slices(self) -> DataFrame:
-        return regression.member_returns(self.estimation, self.pairs, self.windows)
+        return materialize(regression.member_returns(self.estimation, self.pairs, self.windows))
 
     @cached_property
     def network(self) -> DataFrame:
@@ -143,8 +143,8 @@ class Study:
 
     @cached_property
     def book(self) -> DataFrame:
-        return positions.with_costs(
-            positions.daily_book(self.positions, self.marked, self.calendar), self.cfg.costs)
+        return materialize(positions.with_costs(
+            positions.daily_book(self.positions, self.marked, self.calendar), self.cfg.costs))
 
     @cached_property
     def boundaries(self) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,15 +18,23 @@ def build_session(app: str = "leadwake", cores: str | int = "*", partitions: int
             .getOrCreate())
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make a local one only when none is set (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for cut lineage; a local one only where none is set (tests)."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(named)
+    return named
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so a lost executor loses no work."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a stage table to the shared folder and read it back.
+
+    Lineage is cut, a lost executor loses no work, and the reader knows the table's true size,
+    so small stage tables are joined by broadcast and large ones are not.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
