@@ -142,3 +142,30 @@ def pnl_calendar(spark: SparkSession, sf: str, freq: str = "month") -> DataFrame
 def study(spark: SparkSession, sf: str, cfg: Settings = MONTHLY):
     from leadwake.plans.walk_forward import Study
     return Study(quotes(spark, sf, "month"), sector_table(spark, sf), cfg, MIN_INSTRUMENTS, windows(spark, cfg))
+
+
+def reference_prices(spark: SparkSession, sf: str, freq: str = "day") -> DataFrame:
+    """A second price source: the average price of the lines already invoiced."""
+    ship = F.to_date("l_shipdate")
+    day = ship if freq == "day" else F.trunc(ship, "month")
+    return (table(spark, sf, "lineitem").filter("l_linestatus = 'F'")
+            .groupBy(F.col("l_suppkey").alias("suppkey"), day.alias("date"))
+            .agg((F.round(F.sum("l_extendedprice"), 2) / F.round(F.sum("l_quantity"), 2)).alias("price"),
+                 F.max("l_tax").alias("t"))
+            .select(instrument_id(F.col("suppkey")).alias("instrument"), "date", "price",
+                    F.lit(0.0).alias("dividend"), F.when(F.col("t") >= 0.08, 2.0).otherwise(0.0).alias("split")))
+
+
+def coded_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes under codes that change every year: one code per customer and order year."""
+    o = table(spark, sf, "orders")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    day = F.to_date("o_orderdate")
+    bars = (o.groupBy("o_custkey", day.alias("date"))
+            .agg(F.max(F.struct("o_orderkey", "o_totalprice")).alias("last"), F.round(F.sum("o_totalprice"), 2).alias("volume"),
+                 F.count(F.lit(1)).alias("trades")))
+    return (bars.join(c, F.col("o_custkey") == F.col("c_custkey"))
+            .select("date", F.concat(F.lit("C"), F.lpad(F.col("o_custkey").cast("string"), 8, "0"), F.lit("Y"),
+                                     F.year("date").cast("string")).alias("instrument"),
+                    F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"),
+                    F.col("last.o_totalprice").alias("close"), "volume", "trades"))

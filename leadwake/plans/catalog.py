@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from leadwake.plans import catalog_market, catalog_network  # noqa: F401
+from leadwake.plans import catalog_market, catalog_network, catalog_quality  # noqa: F401
 from leadwake.plans.registry import ORACLES, QUERIES  # noqa: F401
