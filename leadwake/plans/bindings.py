@@ -169,3 +169,29 @@ def coded_quotes(spark: SparkSession, sf: str) -> DataFrame:
                                      F.year("date").cast("string")).alias("instrument"),
                     F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"),
                     F.col("last.o_totalprice").alias("close"), "volume", "trades"))
+
+
+def filings(spark: SparkSession, sf: str) -> DataFrame:
+    """One filing per document: 13 text fields, issuer, delivery date, whole text."""
+    i = F.col("doc_id")
+    delivered = F.date_add(F.lit("1996-12-20").cast("date"), (i * 37 % 1830).cast("int"))
+    return table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("N"), F.lpad((i % 25).cast("string"), 3, "0")).alias("issuer"), delivered.alias("delivered"), "text",
+        F.lpad((i % 25).cast("string"), 14, "0").alias("CNPJ_Companhia"), F.concat(F.lit("EMPRESA "), (i % 25).cast("string")).alias("Nome_Companhia"),
+        F.lpad((i % 25).cast("string"), 6, "0").alias("Codigo_CVM"), delivered.cast("string").alias("Data_Referencia"),
+        F.when(F.col("lang") == "de", "Comunicado ao Mercado").otherwise("Fato Relevante").alias("Categoria"), F.lit("").alias("Tipo"),
+        F.lit("").alias("Especie"), F.col("source").alias("Assunto"), delivered.cast("string").alias("Data_Entrega"),
+        F.when(F.col("source") == "src3", "RE - Reapresentação").otherwise("AP - Apresentação").alias("Tipo_Apresentacao"),
+        i.cast("string").alias("Protocolo_Entrega"), F.when(F.col("n_chars") > 9000, "2").when(F.col("n_chars") > 3000, "1").otherwise("").alias("Versao"),
+        F.concat(F.lit("https://exemplo/"), i.cast("string")).alias("Link_Download"))
+
+
+def document_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Classification rows: quality says company-specific, toxic says negative."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    specific = F.col("quality") == 1
+    direction = (F.when(~specific, "neutra").when(F.col("toxic") == 1, "negativa").when(F.col("n_chars") % 4 == 0, "neutra")
+                 .when(F.col("n_chars") % 4 == 1, "negativa").otherwise("positiva"))
+    return (d.join(table(spark, sf, "labels"), "doc_id", "left")
+            .select("doc_id", F.when(F.col("quality").isNull(), "erro").otherwise("ok").alias("status"),
+                    specific.alias("specific"), F.when(F.col("quality").isNotNull(), direction).alias("direction")))

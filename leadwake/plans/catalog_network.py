@@ -172,8 +172,8 @@ register("ret_08_event_crossings", "position_days:i crossings:i share:f",
 register("cst_01_one_way_cost", "rule:s mode:s one_way_bps:f days:i",
          lambda c: c.study.book.groupBy("rule", "mode").agg(F.lit(c.cfg.costs.one_way_bps).alias("one_way_bps"), F.count(F.lit(1)).alias("days")),
          "SELECT rule, mode, 5.0 + 5.0 + 0.0 + 3.25 AS one_way_bps, count(*) AS days FROM x_book GROUP BY 1, 2")
-register("cst_02_turnover_cost", "rule:s mode:s date:d turnover_cost:f", lambda c: c.study.book, "SELECT * FROM x_book")
-register("cst_03_borrow_cost", "rule:s mode:s date:d borrow_cost:f", lambda c: c.study.book, "SELECT * FROM x_book")
+register("cst_02_turnover_cost", "rule:s mode:s date:d turnover_cost:e", lambda c: c.study.book, "SELECT * FROM x_book")
+register("cst_03_borrow_cost", "rule:s mode:s date:d borrow_cost:e", lambda c: c.study.book, "SELECT * FROM x_book")
 register("cst_04_net_pnl", "rule:s mode:s date:d gross_pnl:f net_pnl:f", lambda c: c.study.book, "SELECT * FROM x_book")
 register("cst_05_borrow_scenarios", "rule:s mode:s date:d rate:f net_pnl:f",
          lambda c: positions.borrow_scenarios(c.study.book, c.cfg.costs),

@@ -64,10 +64,11 @@ ORACLES: dict[str, str] = {}
 
 _SPARK = {"s": lambda c: c.cast("string"), "d": lambda c: c.cast("date").cast("string"), "i": lambda c: c.cast("long"),
           "b": lambda c: c.cast("int"), "f": lambda c: F.floor(c.cast("double") * 1e6 + 0.5) / 1e6,
-          "g": lambda c: F.floor(c.cast("double") * 1e4 + 0.5) / 1e4}
+          "g": lambda c: F.floor(c.cast("double") * 1e4 + 0.5) / 1e4,
+          "e": lambda c: F.floor(c.cast("double") * 1e9 + 0.5) / 1e9}
 _SQL = {"s": "CAST({c} AS VARCHAR)", "d": "CAST(CAST({c} AS DATE) AS VARCHAR)", "i": "CAST({c} AS BIGINT)",
         "b": "CAST({c} AS INTEGER)", "f": "floor(CAST({c} AS DOUBLE) * 1e6 + 0.5) / 1e6",
-        "g": "floor(CAST({c} AS DOUBLE) * 1e4 + 0.5) / 1e4"}
+        "g": "floor(CAST({c} AS DOUBLE) * 1e4 + 0.5) / 1e4", "e": "floor(CAST({c} AS DOUBLE) * 1e9 + 0.5) / 1e9"}
 
 
 def _columns(cols: str):
@@ -78,7 +79,7 @@ def _columns(cols: str):
 
 
 def register(name: str, cols: str, plan: Callable[[Context], DataFrame], sql: str | None) -> None:
-    """``cols`` lists ``name:type`` or ``name<spark_column:type``; types are s d i b f g."""
+    """``cols`` lists ``name:type`` or ``name<spark_column:type``; types are s d i b f g e."""
     if name in QUERIES:
         raise ValueError(f"duplicate query {name}")
 
