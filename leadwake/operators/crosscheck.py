@@ -236,3 +236,14 @@ def near_duplicates(returns: DataFrame, members: DataFrame, min_correlation: flo
     m = (a.join(b, "date").filter(F.col("instrument_a") < F.col("instrument_b")).groupBy("instrument_a", "instrument_b")
          .agg(F.count(F.lit(1)).alias("overlap"), F.corr("ra", "rb").alias("correlation")))
     return m.filter((F.col("overlap") >= min_overlap) & (F.col("correlation") >= min_correlation))
+
+
+def validate_with_terminal(quotes: DataFrame, reference: DataFrame, candidates: DataFrame, terminals: DataFrame) -> DataFrame:
+    """First attempt against the new code; inconclusive candidates retry against the chain's last code."""
+    first = validation_metrics(quotes, reference, candidates)
+    retry = (first.filter("state <> 'calculado'").select("old", F.col("new").alias("asked"))
+             .join(terminals.select(F.col("instrument").alias("old"), F.col("terminal").alias("new")).filter("terminal is not null"), "old"))
+    second = (validation_metrics(quotes, reference, retry.select("old", "new")).filter("state = 'calculado'")
+              .withColumnRenamed("new", "terminal").join(retry.select("old", "asked"), "old").withColumnRenamed("asked", "new"))
+    keep = first.join(second.select("old", "new"), ["old", "new"], "left_anti").withColumn("terminal", F.lit(None).cast("string"))
+    return keep.unionByName(second.select(*keep.columns))

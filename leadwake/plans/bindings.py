@@ -195,3 +195,23 @@ def document_labels(spark: SparkSession, sf: str) -> DataFrame:
     return (d.join(table(spark, sf, "labels"), "doc_id", "left")
             .select("doc_id", F.when(F.col("quality").isNull(), "erro").otherwise("ok").alias("status"),
                     specific.alias("specific"), F.when(F.col("quality").isNotNull(), direction).alias("direction")))
+
+
+RATERS = ("r1", "r2", "r3", "r4", "r5")
+
+
+def votes(spark: SparkSession, sf: str) -> DataFrame:
+    """Five raters: each copies the label, a hashed fifth of the answers moves to another class."""
+    from leadwake.functions.scalars import hash_int
+    from leadwake.operators.agreement import JOINT_CLASSES, joint_class
+    ok = document_labels(spark, sf).filter("status = 'ok'").select("doc_id", joint_class(F.col("specific"), F.col("direction")).alias("base"))
+    v = ok.withColumn("rater", F.explode(F.array(*[F.lit(r) for r in RATERS])))
+    draw = hash_int(F.lit(20), "voto", F.col("rater"), F.col("doc_id"))
+    other = F.element_at(F.array(*[F.lit(c) for c in JOINT_CLASSES]), (draw + 1).cast("int"))
+    return v.select("doc_id", "rater", F.when(draw < 4, other).otherwise(F.col("base")).alias("class"))
+
+
+def rater(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    v = votes(spark, sf).filter(F.col("rater") == name)
+    return v.select("doc_id", (F.col("class") != "nao_especifico").alias("specific"),
+                    F.when(F.col("class") == "nao_especifico", "neutra").otherwise(F.regexp_replace("class", "^especifico_", "")).alias("direction"))
