@@ -19,13 +19,19 @@ def build_session(app: str = "leadwake", cores: str | int = "*", partitions: int
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for cut lineage; a local one only where none is set (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    A session whose executors are threads of the driver (``local[...]``) may go without: it gets a temporary one.
+    On a cluster a folder of one machine would lose rows, so there the setting is required.
+    """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(named)
-    return named
+    return named.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
