@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL that must agree with them, where SQL can say it."""
 
-from leadwake.llm import pieces
+from leadwake.llm import ledger, mixing, pieces
 
-QUERIES = {"op1_piece_encoding": pieces.op1}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_piece_encoding": pieces.op1, "op3_source_mixing": mixing.op3, "op4_rule_ledger": ledger.op4}
+ORACLES = {"op3_source_mixing": mixing.SQL, "op4_rule_ledger": ledger.SQL}
