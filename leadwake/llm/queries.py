@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and the SQL that must agree with them, where SQL can say it."""
 
-from leadwake.llm import ledger, mixing, ordinal, pieces, toxicity
+from leadwake.llm import ledger, mixing, ordinal, pieces, toxicity, warc
 
 QUERIES = {
     "op1_piece_encoding": pieces.op1, "op2_ordinal_quality": ordinal.op2, "op3_source_mixing": mixing.op3,
-    "op4_rule_ledger": ledger.op4, "op5_toxicity": toxicity.op5}
-ORACLES = {"op3_source_mixing": mixing.SQL, "op4_rule_ledger": ledger.SQL}
+    "op4_rule_ledger": ledger.op4, "op5_toxicity": toxicity.op5, "op7_warc": warc.op7}
+ORACLES = {"op3_source_mixing": mixing.SQL, "op4_rule_ledger": ledger.SQL, "op7_warc": warc.SQL}
