@@ -144,7 +144,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     known = materialize(known)
-    classed = docs.join(known, "doc_id", "left").select("text", F.coalesce(F.when(F.col("toxic") > 0, 2).otherwise(F.when(F.col("toxic") == 0, 1)), F.lit(0)).alias("class"))
+    # One plan at every size: labels are dealt with the texts by id, never broadcast.
+    classed = docs.join(known.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce(F.when(F.col("toxic") > 0, 2).otherwise(F.when(F.col("toxic") == 0, 1)), F.lit(0)).alias("class"))
     got = counts(classed).toArrow()
     n = np.zeros((3, ENTRIES))
     for k, name in enumerate(("n_none", "n_ordinary", "n_toxic")):
