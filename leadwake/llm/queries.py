@@ -1,13 +1,13 @@
 """The registered queries of this subpackage and the SQL that must agree with them, where SQL can say it."""
 
 import corpus_pipeline
-from leadwake.llm import jaccard_join, ledger, mixing, ordinal, pieces, pii, toxicity, warc
+from leadwake.llm import jaccard_join, ledger, metric_join, mixing, ordinal, pieces, pii, toxicity, warc
 
 QUERIES = {
     "op1_piece_encoding": pieces.op1, "op2_ordinal_quality": ordinal.op2, "op3_source_mixing": mixing.op3,
     "op4_rule_ledger": ledger.op4, "op5_toxicity": toxicity.op5, "op7_warc": warc.op7, "op8_jaccard_join": jaccard_join.op8,
-    "op10_personal_data": pii.op10,
+    "op9_metric_join": metric_join.op9, "op10_personal_data": pii.op10,
     "pipeline": corpus_pipeline.run}
-ORACLES = {"op3_source_mixing": mixing.SQL, "op4_rule_ledger": ledger.SQL, "op7_warc": warc.SQL}
+ORACLES = {"op3_source_mixing": mixing.SQL, "op4_rule_ledger": ledger.SQL, "op7_warc": warc.SQL, "op9_metric_join": metric_join.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
