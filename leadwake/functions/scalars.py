@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 # Governance suffixes that are not corporate-event markers.
@@ -85,3 +87,19 @@ def normal_two_sided(z: Column) -> Column:
     far = tail / frac / F.lit(2.506628274631)
     one = F.when(a < 7.07106781186547, tail * num / den).when(a <= 37, far).otherwise(0.0)
     return F.when(z.isNotNull(), F.least(F.lit(1.0), 2 * one))
+
+
+def student_two_sided(t: Column, df: Column) -> Column:
+    """P(|T| > |t|) of Student's distribution with a whole number of degrees of freedom, by its finite series in the angle."""
+    angle = F.atan(F.abs(t) / F.sqrt(df))
+    cos2, odd = F.cos(angle) * F.cos(angle), df % 2
+    terms = F.floor((df - 2 - odd) / 2).cast("int")  # terms after the first
+
+    def add(acc: Column, k: Column) -> Column:
+        term = acc["term"] * cos2 * F.when(odd == 1, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    total = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")), start, add, lambda acc: acc["total"])
+    inside = F.when(df == 1, angle * 2 / math.pi).when(odd == 1, (angle + F.sin(angle) * F.cos(angle) * total) * 2 / math.pi).otherwise(F.sin(angle) * total)
+    return F.when(t.isNotNull() & (df >= 1), F.greatest(F.lit(0.0), 1 - inside))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from leadwake.operators.checks import require
 
 # Joint classes and gate limits.
 JOINT_CLASSES = ("nao_especifico", "especifico_positiva", "especifico_negativa", "especifico_neutra")
@@ -14,7 +16,8 @@ DIRECTIONS = ("positiva", "negativa", "neutra")
 
 
 def joint_class(specific: Column, direction: Column) -> Column:
-    return F.when(specific, F.concat(F.lit("especifico_"), direction)).otherwise("nao_especifico")
+    """Null where the answer itself is missing."""
+    return F.when(specific, F.concat(F.lit("especifico_"), direction)).when(~specific, "nao_especifico")
 
 
 def normalize_sheet(sheet: DataFrame, aliases: dict[str, str]) -> DataFrame:
@@ -47,7 +50,7 @@ def align_raters(a: DataFrame, b: DataFrame) -> DataFrame:
     y = b.select("doc_id", F.col("specific").alias("specific_b"), F.col("direction").alias("direction_b"))
     j = x.join(y, "doc_id", "full")
     one_sided = F.col("specific_a").isNull() | F.col("specific_b").isNull()
-    j = j.withColumn("doc_id", F.when(one_sided, F.raise_error(F.concat(F.lit("id labelled by one rater only: "), F.col("doc_id").cast("string")))).otherwise(F.col("doc_id")))
+    j = require(j, one_sided, F.concat(F.lit("id labelled by one rater only: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     return j.withColumns({"class_a": joint_class(F.col("specific_a"), F.col("direction_a")), "class_b": joint_class(F.col("specific_b"), F.col("direction_b"))})
 
 

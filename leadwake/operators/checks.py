@@ -27,9 +27,17 @@ def duplicates(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
         F.lit(name).alias("check"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("violations", F.lit(0)).alias("violations"))
 
 
+def require(df: DataFrame, bad: Column, message: Column) -> DataFrame:
+    """The same rows; reading them raises where ``bad`` holds.
+
+    The test is a row filter, so it stays in the plan whichever columns are read afterwards.
+    """
+    return df.filter(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(True))
+
+
 def enforce(table: DataFrame) -> None:
-    """Raise on the first violated checks; the table has one row per check."""
-    failed = table.filter("violations > 0").limit(20).collect()
+    """Raise on all violated checks; the table has one row per check."""
+    failed = table.filter("violations > 0").collect()
     if failed:
         raise ValueError("; ".join(f"{r['check']}: {r['violations']} of {r['rows']}" for r in failed))
 

@@ -126,7 +126,7 @@ def return_fingerprints(returns: DataFrame, digits: int = 8) -> DataFrame:
     return (returns.filter("ret is not null").groupBy("instrument")
             .agg(F.array_sort(F.collect_list(row)).alias("rows"), F.count(F.lit(1)).alias("observations"))
             .select("instrument", "observations",
-                    F.substring(F.sha2(F.array_join(F.transform("rows", lambda r: r["v"]), "|"), 256), 1, 16).alias("fingerprint")))
+                    F.sha2(F.array_join(F.transform("rows", lambda r: r["v"]), "|"), 256).alias("fingerprint")))
 
 
 def identical_series(fingerprints: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from leadwake.operators.checks import require
 from leadwake.operators.sessions import next_session
 
 # The filing header in its published order, and the categories used.
@@ -52,9 +53,8 @@ def join_leaders(filings: DataFrame, leaders: DataFrame) -> DataFrame:
     ld = leaders.select("issuer", code("codigo_cvm").alias("code"), F.col("cnpj").alias("leader_cnpj"), "valid_from", "valid_to")
     j = filings.withColumn("code", code("Codigo_CVM")).join(ld, "code")
     clash = F.regexp_replace("CNPJ_Companhia", r"\D", "") != F.regexp_replace("leader_cnpj", r"\D", "")
-    checked = F.when(clash, F.raise_error(F.concat(F.lit("tax id differs for code "), "code"))).otherwise(F.col("issuer"))
     day = F.to_date("Data_Entrega")
-    return (j.withColumn("issuer", checked)
+    return (require(j, clash, F.concat(F.lit("tax id differs for code "), "code"))
             .filter((day >= F.coalesce("valid_from", F.lit("0001-01-01").cast("date"))) & (day <= F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))))
             .drop("code", "leader_cnpj", "valid_from", "valid_to"))
 
@@ -78,8 +78,7 @@ def leader_events(events: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataF
     """Events whose issuer leads in the same window, without fan-out; two leaders of an issuer raise."""
     lead = (pairs.select("window", F.col("leader_issuer").alias("issuer"), "leader").distinct()
             .groupBy("window", "issuer").agg(F.count(F.lit(1)).alias("n"), F.min("leader").alias("leader")))
-    one = lead.withColumn("leader", F.when(F.col("n") > 1, F.raise_error(F.concat(
-        F.lit("issuer with two leaders: "), "window", F.lit("/"), "issuer"))).otherwise(F.col("leader"))).drop("n")
+    one = require(lead, F.col("n") > 1, F.concat(F.lit("issuer with two leaders: "), "window", F.lit("/"), "issuer")).drop("n")
     j = events.join(one, ["window", "issuer"], "left")
     return j.filter("leader is not null"), j.filter("leader is null").drop("leader").withColumn("reason", F.lit(NOT_LEADER))
 
@@ -123,9 +122,8 @@ def leader_day_signals(events: DataFrame, label: str = "classification", day: st
         F.min("issuer").alias("issuer"), F.count_distinct("issuer").alias("__i"), F.count(F.lit(1)).alias("documents"),
         F.count_if(F.col("__v") == 1).alias("positives"), F.count_if(F.col("__v") == -1).alias("negatives"), F.count_if(F.col("__v") == 0).alias("neutrals"))
     p, n = F.col("positives") > 0, F.col("negatives") > 0
-    issuer = F.when(F.col("__i") != 1, F.raise_error(F.lit("issuer must be unique per leader-day"))).otherwise(F.col("issuer"))
-    return g.withColumns({
-        "issuer": issuer, "signal": F.when(p & n, 0).when(p, 1).when(n, -1).otherwise(0),
+    return require(g, F.col("__i") != 1, F.concat(F.lit("issuer must be unique per leader-day: "), F.col("leader").cast("string"))).withColumns({
+        "signal": F.when(p & n, 0).when(p, 1).when(n, -1).otherwise(0),
         "abstain": (p & n) | (~p & ~n),
         "reason": F.when(p & n, "conflito_positivo_negativo").when(p, "positivas_concordantes").when(n, "negativas_concordantes")
         .otherwise("somente_neutras")}).drop("__i")

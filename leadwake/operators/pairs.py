@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leadwake.config import Liquidity
 from leadwake.functions.scalars import smallest_band
+from leadwake.operators.checks import require
 from leadwake.operators.sectors import sector_in_force
 from leadwake.operators.universe import NO_SECTOR
 
@@ -41,12 +42,10 @@ def candidate_pairs(selection: DataFrame, bands: tuple[int, ...]) -> DataFrame:
         F.col("final_position").alias(f"{p}_position"), F.col("liquidity").alias(f"{p}_liquidity"))
     both = side("leader").join(side("follower"), ["window", "sector", "subsector"])
     pairs = both.filter(F.col("leader_position") < F.col("follower_position"))
-    # The condition repeats the position test because filters may run after the check.
+    # The condition repeats the position test because filters may change places.
     same_issuer = ((F.col("leader_issuer") == F.col("follower_issuer"))
                    & (F.col("leader_position") < F.col("follower_position")))
-    checked = F.when(same_issuer, F.raise_error(F.concat(
-        F.lit("pair with one issuer on both sides: "), "leader", F.lit(" x "), "follower"))).otherwise(F.col("leader"))
-    return pairs.withColumn("leader", checked).withColumn(
+    return require(pairs, same_issuer, F.concat(F.lit("pair with one issuer on both sides: "), "leader", F.lit(" x "), "follower")).withColumn(
         "min_band", smallest_band(F.col("follower_position"), bands)).select(*PAIR_COLUMNS)
 
 

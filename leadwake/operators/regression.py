@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from leadwake.config import LeadLag
-from leadwake.functions.scalars import normal_two_sided
+from leadwake.functions.scalars import normal_two_sided, student_two_sided
 from leadwake.operators.sessions import in_windows
 
 FORWARD, INVERTED = "lider_para_seguidora", "invertida"
@@ -105,7 +105,8 @@ def least_squares(rows: DataFrame, keys: Sequence[str], covariance: str = "HAC",
         "std_error": F.when(var_b >= 0, F.sqrt(var_b)), "alpha_se": F.when(var_a >= 0, F.sqrt(var_a)),
         "r2": 1 - F.try_divide(F.col("sse"), F.col("syy"))})
     est = est.withColumns({"t_stat": F.try_divide("beta", "std_error"), "alpha_t": F.try_divide("alpha", "alpha_se")})
-    est = est.withColumns({"p_value": normal_two_sided(F.col("t_stat")), "alpha_p": normal_two_sided(F.col("alpha_t"))})
+    tail = (lambda c: student_two_sided(F.col(c), F.col("n") - 2)) if covariance == "nonrobust" else (lambda c: normal_two_sided(F.col(c)))
+    est = est.withColumns({"p_value": tail("t_stat"), "alpha_p": tail("alpha_t")})
     enough = n >= min_obs
     stats = ("alpha", "beta", "std_error", "t_stat", "p_value", "alpha_se", "alpha_t", "alpha_p", "r2")
     return est.select(*keys, "n", "first_date", "last_date", *[F.when(enough, F.col(c)).alias(c) for c in stats])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from datetime import date
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
@@ -36,31 +38,26 @@ def listing_span(quotes: DataFrame) -> DataFrame:
 
 def add_months(d: date, months: int) -> date:
     """Calendar-month offset that clips to the last day of the target month."""
-    y, m = divmod(d.year * 12 + d.month - 1 + months, 12)
-    m += 1
-    nxt = date(y + m // 12, m % 12 + 1, 1)
-    last = (nxt - date(y, m, 1)).days
-    return date(y, m, min(d.day, last))
+    year, month = divmod(d.year * 12 + d.month - 1 + months, 12)
+    return date(year, month + 1, min(d.day, monthrange(year, month + 1)[1]))
 
 
 def walk_forward_windows(spark: SparkSession, start: date, end: date,
                          cfg: WalkForward | None = None, train_months: int | None = None) -> DataFrame:
     """Half-open train and test windows; the train end equals the test start.
 
-    A few dozen rows fixed by the study period, so this is a literal table.  Starts step from
-    the previous start, which keeps the day clipping of month offsets.
+    A few dozen rows fixed by the study period, so this is a literal table.  A day that a short month clips stays
+    clipped for the later starts.
     """
     cfg = cfg or WalkForward()
-    train = train_months or cfg.train_months
-    rows, begin, i = [], start, 0
-    while True:
-        train_end = add_months(begin, train)
-        test_end = add_months(train_end, cfg.test_months)
-        if test_end > end:
-            break
-        rows.append((i, f"{train_end:%Y-%m}", begin, train_end, train_end, test_end))
-        begin = add_months(begin, cfg.test_months)
-        i += 1
+    train, step = train_months or cfg.train_months, cfg.test_months
+    origin = start.year * 12 + start.month - 1
+    offsets = range(0, end.year * 12 + end.month - origin, step)
+    months = [((origin + k) // 12, (origin + k) % 12 + 1) for k in offsets]
+    days = list(accumulate((monthrange(*m)[1] for m in months), min, initial=start.day))[1:]
+    begins = [date(*m, d) for m, d in zip(months, days)]
+    ends = [(add_months(b, train), add_months(add_months(b, train), step)) for b in begins]
+    rows = [(i, f"{mid:%Y-%m}", b, mid, mid, last) for i, (b, (mid, last)) in enumerate(zip(begins, ends)) if last <= end]
     if not rows:
         return spark.createDataFrame([], WINDOW_SCHEMA)
     values = ", ".join("({}, '{}', date'{}', date'{}', date'{}', date'{}')".format(*r) for r in rows)
@@ -101,11 +98,6 @@ def in_windows(df: DataFrame, windows: DataFrame, part: str = "train", on: str =
             .drop("__month"))
 
 
-def with_positions(df: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Attach calendar positions; dates that are not sessions drop out."""
-    return df.join(calendar.select("date", "pos"), "date")
-
-
 def session_lookup(calendar: DataFrame) -> DataFrame:
     """One row per civil day up to the last session, with the first session strictly after it.
 

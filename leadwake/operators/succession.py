@@ -44,7 +44,8 @@ def continuous_changes(ends: DataFrame, same_name: DataFrame, slack: int = 15, m
     by price.  The exact tests follow the join; nothing inside them is lost to the cells.
     """
     import math
-    width = -math.log(1 - max_jump)  # the widest admissible move down; moves up are narrower
+    # The widest admissible move down, moves up are narrower; a little wider, so that a rounded logarithm stays next door.
+    width = -math.log(1 - max_jump) * (1 + 1e-9)
     cell = lambda p: F.floor(F.log(p) / F.lit(width)).cast("long")
     live = ends.filter((F.col("last_price") > 0) & (F.col("first_price") > 0))
     old = (live.select(F.col("instrument").alias("old"), F.col("name").alias("old_name"), F.col("last_date").alias("old_end"),
@@ -64,8 +65,8 @@ def continuous_changes(ends: DataFrame, same_name: DataFrame, slack: int = 15, m
                       F.lit("series adjacentes com preco continuo, nomes diferentes").alias("method"))
 
 
-def change_candidates(quotes: DataFrame) -> DataFrame:
-    ends = series_ends(quotes)
+def change_candidates(ends: DataFrame) -> DataFrame:
+    """Both rules over ``series_ends``."""
     a = same_name_changes(ends)
     return a.unionByName(continuous_changes(ends, a))
 
@@ -118,7 +119,7 @@ def terminal_of_chain(edges: DataFrame, starts: DataFrame, max_hops: int = 5) ->
     return cur.select("instrument", F.when(F.col("at") != F.col("instrument"), F.col("at")).alias("terminal"))
 
 
-def lineages(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def lineages(edges: DataFrame) -> DataFrame:
     """Connected components labelled by the smallest code.
 
     Each round takes the least label among neighbours and then jumps to that label's own label,
@@ -128,7 +129,7 @@ def lineages(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     e = edges.select(F.col("old").alias("a"), F.col("new").alias("b")).filter("a <> b")
     both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     lab = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(max_rounds):
+    while True:  # ends, because labels only fall
         near = (both.join(lab.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
                 .agg(F.min("label").alias("near")))
         hooked = lab.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
@@ -138,7 +139,6 @@ def lineages(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         lab = step.select("node", "label")
         if not changed:
             return lab
-    raise ValueError(f"components did not settle in {max_rounds} rounds")
 
 
 def mapping_upsert(fresh: DataFrame, stored: DataFrame, manual: tuple[str, ...], seeded: dict[str, str]) -> DataFrame:

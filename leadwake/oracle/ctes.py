@@ -54,10 +54,10 @@ SELECT d AS date, instrument, name,
        kind, isin, market, bdi, open, high, low, volume / quantity AS avg, close, trades, quantity, volume
 FROM (SELECT *, CASE WHEN tax < 0.065 THEN '' WHEN flag = 'R' THEN 'ED' WHEN flag = 'A' THEN 'EJ' ELSE '' END AS marker
       FROM (SELECT l_suppkey, {day} AS d,
-                   arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_quantity, l_tax, l_returnflag, round(l_extendedprice * 100)::BIGINT % 256)) AS open,
-                   arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_quantity, l_tax, l_returnflag, round(l_extendedprice * 100)::BIGINT % 256)) AS close,
-                   arg_max(l_returnflag, (l_orderkey, l_linenumber, l_quantity, l_tax, l_returnflag, round(l_extendedprice * 100)::BIGINT % 256)) AS flag,
-                   arg_max(l_tax, (l_orderkey, l_linenumber, l_quantity, l_tax, l_returnflag, round(l_extendedprice * 100)::BIGINT % 256)) AS tax,
+                   arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_quantity, l_tax, l_returnflag, round(l_extendedprice * 100)::BIGINT)) AS open,
+                   arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_quantity, l_tax, l_returnflag, round(l_extendedprice * 100)::BIGINT)) AS close,
+                   arg_max(l_returnflag, (l_orderkey, l_linenumber, l_quantity, l_tax, l_returnflag, round(l_extendedprice * 100)::BIGINT)) AS flag,
+                   arg_max(l_tax, (l_orderkey, l_linenumber, l_quantity, l_tax, l_returnflag, round(l_extendedprice * 100)::BIGINT)) AS tax,
                    max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
                    round(sum(l_extendedprice), 2) AS volume, round(sum(l_quantity), 2) AS quantity, count(*) AS trades
             FROM lineitem GROUP BY 1, 2)) b

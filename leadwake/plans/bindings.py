@@ -67,22 +67,14 @@ def instruments(spark: SparkSession, sf: str) -> DataFrame:
                     bal.alias("acctbal")))
 
 
-def _bars(spark: SparkSession, sf: str, day: Column, only: DataFrame | None = None) -> DataFrame:
-    """Bars per supplier and date; sums of cents are rounded back to cents.
-
-    ``only`` lists universe members (at most bands x windows rows), so it is broadcast and
-    filters the scan before anything is aggregated.
-    """
+def _bars(spark: SparkSession, sf: str, day: Column) -> DataFrame:
+    """Bars per supplier and date; sums of cents are rounded back to cents."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    # Order of lines packed into one 63-bit integer (40 bits order, 3 line, 6 quantity, 4 tax, 2 flag,
-    # 8 price).  A struct would force a sort before every partial aggregate; an integer stays in
-    # the hash aggregate's row buffer.
-    rank = F.expr("""((((l_orderkey * 8 + l_linenumber) * 64 + cast(l_quantity AS bigint)) * 16
-        + cast(round(l_tax * 100) AS bigint)) * 4 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) * 256
-        + cast(round(l_extendedprice * 100) AS bigint) % 256""")
+    # The whole order of lines in one number: order, line, quantity, tax, flag and price in cents.  A struct would force a
+    # sort before every partial aggregate; a number stays in the hash aggregate's row buffer.
+    rank = F.expr("""cast((l_orderkey * 8 + l_linenumber) * 4096 + cast(l_quantity AS bigint) * 64 + cast(round(l_tax * 100) AS bigint) * 4
+        + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS decimal(20, 0)) * 1000000000000BD + cast(round(l_extendedprice * 100) AS decimal(12, 0))""")
     lines = table(spark, sf, "lineitem")
-    if only is not None:
-        lines = lines.join(F.broadcast(only), F.col("l_suppkey") == F.col("suppkey"), "left_semi")
     bars = (lines.withColumns({"price": price, "rank": rank, "flag": F.ascii("l_returnflag")})
             .groupBy(F.col("l_suppkey").alias("suppkey"), day.alias("date"))
             .agg(F.min_by("price", "rank").alias("open"), F.max_by("price", "rank").alias("close"),
@@ -94,16 +86,14 @@ def _bars(spark: SparkSession, sf: str, day: Column, only: DataFrame | None = No
     return bars.withColumns({"avg": F.col("volume") / F.col("quantity"), "marker": marker})
 
 
-def quotes(spark: SparkSession, sf: str, freq: str = "day", members: DataFrame | None = None) -> DataFrame:
+def quotes(spark: SparkSession, sf: str, freq: str = "day") -> DataFrame:
     """Quote records keyed by (date, instrument); ``freq`` is ``day`` or ``month``."""
     ship = F.to_date("l_shipdate")
     day = ship if freq == "day" else F.trunc(ship, "month")
     ref = instruments(spark, sf).select("suppkey", "instrument", "name", "isin", "kind", "market", "bdi")
     spec = (F.when(F.col("marker") == "", F.concat(F.rpad("kind", 8, " "), F.lit("NM")))
             .otherwise(F.concat(F.rpad("kind", 4, " "), F.col("marker"), F.lit("  NM"))))
-    only = None if members is None else members.select(
-        F.substring("instrument", 2, 20).cast("long").alias("suppkey"))
-    return (_bars(spark, sf, day, only).join(ref, "suppkey")
+    return (_bars(spark, sf, day).join(ref, "suppkey")
             .select("date", "instrument", "name", spec.alias("spec"), "kind", "isin", "market", "bdi",
                     "open", "high", "low", "avg", "close", "trades", "quantity", "volume"))
 
@@ -134,10 +124,6 @@ def sector_table(spark: SparkSession, sf: str) -> DataFrame:
                     F.when(F.col("acctbal") < -600, "pendente").otherwise("confirmado").alias("review_status")))
 
 
-def pnl_calendar(spark: SparkSession, sf: str, freq: str = "month") -> DataFrame:
-    return sessions.session_calendar(quotes(spark, sf, freq).select("date", "instrument"), MIN_INSTRUMENTS)
-
-
 def study(spark: SparkSession, sf: str, cfg: Settings = MONTHLY):
     from leadwake.plans.walk_forward import Study
     return Study(quotes(spark, sf, "month"), sector_table(spark, sf), cfg, MIN_INSTRUMENTS, windows(spark, cfg))

@@ -34,13 +34,16 @@ register("est_02_hc3_errors", "win<window:s leader:s follower:s n:i std_error:f
                 FROM (SELECT r.*, count(*) OVER g AS n, avg(x) OVER g AS mx, avg(y) OVER g AS my, var_pop(x) OVER g * count(*) OVER g AS sxx,
                              covar_pop(y, x) OVER g / nullif(var_pop(x) OVER g, 0) AS beta
                       FROM x_xy r WINDOW g AS (PARTITION BY win, leader, follower)) GROUP BY ALL))""")
-register("est_02_classical_errors", "win<window:s leader:s follower:s std_error:f t_stat:f",
+register("est_02_classical_errors", "win<window:s leader:s follower:s n:i std_error:f t_stat:f p_value:f",
          lambda c: regression.least_squares(regression.paired_rows(c.study.slices, c.study.pairs, [1]),
                                             ["window", "leader", "follower", "lag"], "nonrobust", min_obs=12),
-         """SELECT win, leader, follower, se AS std_error, beta / nullif(se, 0) AS t_stat FROM (
-              SELECT win, leader, follower, CASE WHEN count(*) >= 12 THEN covar_pop(y, x) / nullif(var_pop(x), 0) END AS beta,
+         """SELECT win, leader, follower, n, std_error, t_stat, CASE WHEN t_stat IS NOT NULL THEN greatest(0, 1 - CASE WHEN (n - 2) % 2 = 1
+                THEN (o + sin(o) * cos(o) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) + 2 * k * ln(cos(o))))), 0)) * 2 / pi()
+                ELSE sin(o) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1) + 2 * k * ln(cos(o))))) END) END AS p_value
+            FROM (SELECT *, atan(abs(t_stat) / sqrt(n - 2)) AS o FROM (SELECT win, leader, follower, n, se AS std_error, beta / nullif(se, 0) AS t_stat FROM (
+              SELECT win, leader, follower, count(*) AS n, CASE WHEN count(*) >= 12 THEN covar_pop(y, x) / nullif(var_pop(x), 0) END AS beta,
                      CASE WHEN count(*) >= 12 THEN sqrt(greatest(var_pop(y) - covar_pop(y, x)^2 / nullif(var_pop(x), 0), 0) / (count(*) - 2) / nullif(var_pop(x), 0)) END AS se
-              FROM x_xy GROUP BY win, leader, follower)""")
+              FROM x_xy GROUP BY win, leader, follower)))""")
 register("est_03_network", NET, lambda c: c.study.network, "SELECT * FROM x_net")
 register("est_04_all_lags", NET,
          lambda c: regression.network_from_slices(c.study.slices, c.study.pairs, c.cfg.lead_lag, (1, 0, 2, 3)),

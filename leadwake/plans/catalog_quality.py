@@ -104,6 +104,7 @@ SELECT a.instrument AS old, b.instrument AS new, a.last_date AS old_end, b.first
 FROM x_ends a JOIN x_ends b ON b.first_date > a.last_date AND b.first_date <= a.last_date + 15 AND a.instrument <> b.instrument
 WHERE abs(b.first_price / a.last_price - 1) <= 0.15 AND b.vol / a.vol >= 1.0/3.0 AND b.vol / a.vol <= 3
   AND NOT EXISTS (SELECT 1 FROM x_cand_a x WHERE x.old = a.instrument AND x.new = b.instrument)""")
+define("x_cand", "SELECT * FROM x_cand_a UNION ALL SELECT * FROM x_cand_b")
 CAND = "old:s new:s old_end:d new_start:d gap_days:i confidence:s old_price:f new_price:f"
 register("dq_07_same_name_changes", CAND, lambda c: succession.same_name_changes(succession.series_ends(b.coded_quotes(c.spark, c.sf))), "SELECT * FROM x_cand_a")
 
@@ -122,7 +123,7 @@ def _review(c):
     best = ends.select("instrument", (F.floor(F.col("last_price") / 1000) + 1).alias("best_position"),
                        F.lit("1999-01").alias("best_window"), F.lit(1).alias("windows_eligible"))
     from leadwake.operators.sessions import session_calendar
-    return succession.review_table(succession.same_name_changes(ends), ends, best, session_calendar(q, 1))
+    return succession.review_table(succession.change_candidates(ends), ends, best, session_calendar(q, 1))
 
 
 register("dq_09_review_table", "old:s new:s criterion:s gap_sessions:i price_ratio:f old_sessions:i new_sessions:i old_position:i new_position:i old_volume:f new_volume:f",
@@ -133,28 +134,28 @@ register("dq_09_review_table", "old:s new:s criterion:s gap_sessions:i price_rat
                      a.bp AS old_position, b.bp AS new_position, a.vol AS old_volume, b.vol AS new_volume,
                      concat_ws('+', CASE WHEN least(a.bp, b.bp) <= 100 THEN 'top100' WHEN least(a.bp, b.bp) <= 120 THEN 'top120' END,
                        CASE WHEN (a.records < 400 AND b.bp <= 120) OR (b.records < 400 AND a.bp <= 120) THEN 'ponta_curta' END) AS criterion
-                   FROM x_cand_a c JOIN s a ON a.instrument = c.old JOIN s b ON b.instrument = c.new JOIN cal n0 ON n0.date = c.old_end JOIN cal n1 ON n1.date = c.new_start) WHERE criterion <> ''""")
+                   FROM x_cand c JOIN s a ON a.instrument = c.old JOIN s b ON b.instrument = c.new JOIN cal n0 ON n0.date = c.old_end JOIN cal n1 ON n1.date = c.new_start) WHERE criterion <> ''""")
 register("dq_10_terminal_code", "instrument:s terminal:s",
          lambda c: _terminal(c), """
-WITH RECURSIVE e AS (SELECT DISTINCT old, new FROM x_cand_a), u AS (SELECT old, any_value(new) AS new FROM e GROUP BY old HAVING count(*) = 1),
+WITH RECURSIVE e AS (SELECT DISTINCT old, new FROM x_cand), u AS (SELECT old, any_value(new) AS new FROM e GROUP BY old HAVING count(*) = 1),
 walk(instrument, cur, hops) AS (SELECT DISTINCT old, old, 0 FROM e UNION ALL SELECT w.instrument, u.new, hops + 1 FROM walk w JOIN u ON u.old = w.cur WHERE hops < 5)
 SELECT instrument, CASE WHEN max(hops) > 0 THEN arg_max(cur, hops) END AS terminal FROM walk GROUP BY 1""")
 
 
 def _terminal(c):
-    e = succession.same_name_changes(succession.series_ends(b.coded_quotes(c.spark, c.sf)))
+    e = succession.change_candidates(succession.series_ends(b.coded_quotes(c.spark, c.sf)))
     return succession.terminal_of_chain(e, e.select(F.col("old").alias("instrument")))
 
 
 register("lin_01_lineages", "node:s label:s",
-         lambda c: succession.lineages(succession.same_name_changes(succession.series_ends(b.coded_quotes(c.spark, c.sf)))),
-         """WITH RECURSIVE e AS (SELECT old AS a, new AS b FROM x_cand_a UNION SELECT new, old FROM x_cand_a),
+         lambda c: succession.lineages(succession.change_candidates(succession.series_ends(b.coded_quotes(c.spark, c.sf)))),
+         """WITH RECURSIVE e AS MATERIALIZED (SELECT old AS a, new AS b FROM x_cand UNION SELECT new, old FROM x_cand),
             r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other)
             SELECT node, min(other) AS label FROM r GROUP BY 1""")
 
 
 def _upsert(c):
-    cand = succession.same_name_changes(succession.series_ends(b.coded_quotes(c.spark, c.sf)))
+    cand = succession.change_candidates(succession.series_ends(b.coded_quotes(c.spark, c.sf)))
     fresh = cand.withColumn("diagnostic_hash", succession.diagnostic_hash(["gap_days", "confidence"]))
     stored = (cand.withColumn("diagnostic_hash", F.when(F.col("gap_days") < 10, F.lit("antigo")).otherwise(
         succession.diagnostic_hash(["gap_days", "confidence"])))
@@ -164,8 +165,8 @@ def _upsert(c):
 
 
 register("lin_02_mapping_upsert", "old:s new:s decision:s orphan:b needs_revalidation:b", _upsert,
-         """SELECT old, new, CASE WHEN gap_days % 2 = 0 AND gap_days <> 20 THEN 'aprovada' ELSE '' END AS decision, 0 AS orphan, (gap_days % 2 = 0 AND gap_days < 10)::INT AS needs_revalidation FROM x_cand_a
-            UNION ALL SELECT old, 'ORFAO', 'aprovada', 1, 0 FROM x_cand_a WHERE gap_days = 20""")
+         """SELECT old, new, CASE WHEN gap_days % 2 = 0 AND gap_days <> 20 THEN 'aprovada' ELSE '' END AS decision, 0 AS orphan, (gap_days % 2 = 0 AND gap_days < 10)::INT AS needs_revalidation FROM x_cand
+            UNION ALL SELECT old, 'ORFAO', 'aprovada', 1, 0 FROM x_cand WHERE gap_days = 20""")
 
 # ---- second price source --------------------------------------------------------------------
 define("x_ref", """
@@ -240,7 +241,7 @@ def _ref_panel(c):
 
 register("dq_19_return_fingerprints", "instrument:s observations:i fingerprint:s",
          lambda c: crosscheck.return_fingerprints(returns.estimation_returns(c.panel("month"))),
-         """SELECT instrument, count(*) AS observations, substr(sha256(string_agg(strftime(date, '%Y%m%d') || ':' || floor(ret * 1e8 + 0.5)::BIGINT, '|' ORDER BY date)), 1, 16) AS fingerprint
+         """SELECT instrument, count(*) AS observations, sha256(string_agg(strftime(date, '%Y%m%d') || ':' || floor(ret * 1e8 + 0.5)::BIGINT, '|' ORDER BY date)) AS fingerprint
             FROM x_mest WHERE ret IS NOT NULL GROUP BY 1""")
 register("dq_19_identical_series", "instrument_a:s instrument_b:s copies:i",
          lambda c: crosscheck.identical_series(crosscheck.return_fingerprints(_doubled(c))),

@@ -127,14 +127,14 @@ def _missing(c):
     ends = succession.series_ends(q)
     states = ends.select("instrument", F.when(F.col("last_price") > 250000, "serie_vazia").otherwise("sucesso").alias("state"))
     best = ends.filter("first_price > 100000").select("instrument", F.floor(F.col("first_price") / 5000).alias("best_position"))
-    return coverage.missing_series(q, states, succession.same_name_changes(ends), best, (20, 40, 60, 100))
+    return coverage.missing_series(q, states, succession.change_candidates(ends), best, (20, 40, 60, 100))
 
 
 define("x_miss", """
 SELECT *, CASE WHEN band IN ('nunca_elegivel', 'fora_das_faixas') THEN 'nao_material' WHEN cause = 'encerrado_com_sucessor_no_detector' THEN 'revisao_documental_mudanca_ticker'
   WHEN cause = 'encerrado_com_outra_classe_do_emissor' THEN 'conversao_classe_documentada' ELSE 'preco_bruto_cotahist' END AS route
 FROM (SELECT e.instrument, CASE WHEN last_date >= m.d - 30 AND first_date >= m.d - INTERVAL 12 MONTH THEN 'instrumento_recente_sem_serie_ainda' WHEN last_date >= m.d - 30 THEN 'ativo_no_fim_sem_serie'
-    WHEN e.instrument IN (SELECT old FROM x_cand_a UNION SELECT new FROM x_cand_a) THEN 'encerrado_com_sucessor_no_detector'
+    WHEN e.instrument IN (SELECT old FROM x_cand UNION SELECT new FROM x_cand) THEN 'encerrado_com_sucessor_no_detector'
     WHEN substr(e.name, 15, 4) IN (SELECT substr(name, 15, 4) FROM x_ends WHERE last_price <= 250000) THEN 'encerrado_com_outra_classe_do_emissor' ELSE 'encerrado_sem_sucessor_no_universo' END AS cause,
     CASE WHEN first_price <= 100000 THEN 'nunca_elegivel' WHEN floor(first_price / 5000) <= 20 THEN 'top20' WHEN floor(first_price / 5000) <= 40 THEN 'top40' WHEN floor(first_price / 5000) <= 60 THEN 'top60'
       WHEN floor(first_price / 5000) <= 100 THEN 'top100' ELSE 'fora_das_faixas' END AS band

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from leadwake.operators.checks import require
+
 LINE_WIDTH = 245
 # Fixed values: (name, start, end) of the 26 fields, half-open, counted from 0.
 LAYOUT = (
@@ -69,8 +71,7 @@ def audit_raw(lines: DataFrame, unit: Column | None = None) -> DataFrame:
 
 def require_valid(audit: DataFrame) -> DataFrame:
     """The audit with an error raised on read for any file with a problem."""
-    return audit.withColumn("lines", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(
-        ": ", "unit", "problem")).cast("long")).otherwise(F.col("lines")))
+    return require(audit, F.col("problem").isNotNull(), F.concat_ws(": ", "unit", "problem"))
 
 
 def to_lines(quotes: DataFrame) -> DataFrame:

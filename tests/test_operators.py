@@ -172,3 +172,48 @@ def test_kappa_of_perfect_agreement(spark):
     assert agreement.cohen_kappa(df).first()["kappa"] == pytest.approx(1.0)
     one = spark.createDataFrame([(1, "nao_especifico", "nao_especifico")], "doc_id int, class_a string, class_b string")
     assert agreement.cohen_kappa(one).first()["kappa"] is None
+
+
+def test_one_sided_ids_raise_whatever_is_read(spark):
+    a = spark.createDataFrame([(1, True, "positiva"), (3, False, "neutra")], "doc_id long, specific boolean, direction string")
+    b = spark.createDataFrame([(1, True, "positiva"), (9, False, "neutra")], a.schema)
+    from leadwake.operators.agreement import align_raters, cohen_kappa
+    with pytest.raises(Exception, match="one rater only"):
+        cohen_kappa(align_raters(a, b)).collect()
+    with pytest.raises(Exception, match="one rater only"):
+        align_raters(a, b).agg(F.count("*")).collect()
+
+
+def test_two_issuers_on_a_leader_day_raise_whatever_is_read(spark):
+    from leadwake.operators.events import leader_day_signals
+    rows = [("w", "L", "2020-01-02", "I1", "positiva"), ("w", "L", "2020-01-02", "I2", "positiva")]
+    df = spark.createDataFrame(rows, "window string, leader string, session string, issuer string, classification string")
+    with pytest.raises(Exception, match="issuer must be unique"):
+        leader_day_signals(df).select("leader", "signal").collect()
+
+
+def test_student_tail_known_values(spark):
+    from leadwake.functions.scalars import student_two_sided
+    rows = [(0.2304, 10, 0.8224239), (2.228138852, 10, 0.05), (12.7062047, 1, 0.05), (2.0, 3, 0.1393260), (2.009575, 50, 0.05)]
+    df = spark.createDataFrame(rows, "t double, df long, p double").withColumn("got", student_two_sided(F.col("t"), F.col("df")))
+    assert all(abs(r.got - r.p) < 1e-5 for r in df.collect())
+
+
+def test_sample_choice_is_the_greedy_one():
+    import random
+    from types import SimpleNamespace
+    from leadwake.operators.sampling import DIRECTIONS, choose, quotas
+    rng = random.Random(4)
+    rows = [SimpleNamespace(doc_id=i, direction=rng.choice(DIRECTIONS), tier=rng.randint(0, 1), year=rng.randint(2000, 2005),
+                            issuer=f"I{rng.randint(0, 12)}", tie=f"{rng.randint(0, 40):03d}", stratum="s") for i in range(200)]
+    rows = [SimpleNamespace(**{**vars(r), "stratum": {"positiva": "b", "negativa": "a", "neutra": "c"}[r.direction]}) for r in rows]
+    years, issuers, want = set(), set(), []
+    for d in ("negativa", "positiva", "neutra"):
+        left = [r for r in rows if r.direction == d]
+        for _ in range(quotas(31)[d]):
+            best = min(left, key=lambda r: (-r.tier, -((r.year not in years) + (r.issuer not in issuers)), r.tie, -r.doc_id))
+            left.remove(best)
+            want.append(best.doc_id)
+            years.add(best.year)
+            issuers.add(best.issuer)
+    assert [r.doc_id for r in choose(rows, 31)] == want
