@@ -375,7 +375,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 15)).cast("long"))
     texts = docs.select("doc", "tag", "text").filter(F.octet_length("text") >= WINDOW)
-    rows = map_arrow(texts, _scan, "m long, sh long, doc long, p long, kind byte")
+    rows = map_arrow(texts, _scan, "m long, sh long, doc long, p long, kind byte").repartition("m")  # serves both windows
     same, shared = W.partitionBy("m", "sh").orderBy("doc", "p"), W.partitionBy("m")
     rows = rows.withColumns({"place": F.row_number().over(same), "rank": F.rank().over(same)})
     rows = rows.withColumns({"low": F.min("sh").over(shared), "high": F.max("sh").over(shared), "kinds": F.sum((F.col("place") == 1).cast("long")).over(shared)})
