@@ -92,17 +92,24 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """doc_id, n, key of the set, hash and tokens of the prefix; a token holds its frequency class in the top byte."""
+    """doc_id, n, key of the set, mark (a hash of size and prefix) and tokens of the prefix; a token holds its frequency class
+    in the top byte.  A task gives the tokens with the first document of a mark only, so many copies cost little."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)  # SLOTS bytes
 
     def run(batches):
+        given: set[int] = set()
         for b in batches:
             rows = []
-            for t in b.column(1).to_pylist():
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(t)
                 order = np.sort((sent.value[(s % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)))
                 head = order[:prefix_length(len(s))].astype("<u8")
-                rows.append((len(s), hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest(), xxhash.xxh3_64_intdigest(head.tobytes()) - (1 << 63), head.astype(np.int64)))
+                mark = xxhash.xxh3_64_intdigest(head.tobytes(), seed=len(s)) - (1 << 63)
+                rows.append((len(s), hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest(), mark, None if mark in given else head.astype(np.int64)))
+                if len(given) >= MEMO_SIZE:
+                    given.clear()
+                if doc is not None:
+                    given.add(mark)
             n, key, mark, head = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.binary()),
                                               "mark": pa.array(mark, pa.int64()), "prefix": pa.array(head, pa.list_(pa.int64()))})
@@ -120,32 +127,55 @@ def _sizes_fit(a: Column, b: Column) -> Column:
 
 
 def _repeated(tokens: DataFrame) -> DataFrame:
-    """Rows whose token occurs in two groups or more; frequent tokens are all kept, so only short runs of rows meet."""
+    """One row per token and group, of tokens that occur in two groups or more; frequent tokens are all kept, so only short
+    runs of rows meet in a window."""
     hot = F.shiftrightunsigned("token", 56) > 0
-    rest = tokens.filter(~hot).withColumn("c", F.count("*").over(W.partitionBy("token"))).filter("c > 1").drop("c")
-    return rest.unionByName(tokens.filter(hot))
+    dealt = tokens.filter(~hot).repartition("token").groupBy("token", "gid").agg(F.first("n").alias("n"))  # no second exchange
+    rest = dealt.withColumn("c", F.count("*").over(W.partitionBy("token"))).filter("c > 1").drop("c")
+    return rest.unionByName(tokens.filter(hot).distinct())
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose sets reach the threshold; ``sets`` is (id, shingles as binary)."""
+    """The pairs (a, b) of ids with the sizes of their intersection and union; ``sets`` is (id, shingles as binary)."""
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
 
     def run(batches):
         for b in batches:
-            a_ids, b_ids = [], []
-            for a, z, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
+            shared, union = [], []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
-                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                if shared and 100 * shared >= PERCENT * (len(x) + len(y) - shared):
-                    a_ids.append(a)
-                    b_ids.append(z)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a_ids, pa.int64()), "b": pa.array(b_ids, pa.int64())})
+                shared.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0)
+                union.append(len(x) + len(y) - shared[-1])
+            yield pa.RecordBatch.from_pydict({"a": b.column(0), "b": b.column(1), "shared": pa.array(shared, pa.int64()), "whole": pa.array(union, pa.int64())})
 
-    return map_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long")
+    return map_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long, shared long, whole long")
+
+
+def linked(verified: DataFrame) -> DataFrame:
+    return verified.filter(F.col("shared") * 100 >= F.col("whole") * PERCENT).select("a", "b")
+
+
+def _shared_counts(sets: DataFrame, often: np.ndarray) -> DataFrame:
+    """(id, reach): how many of a set's shingles occur in another of the sets; frequent shingles count without a look."""
+    sent = sets.sparkSession.sparkContext.broadcast(often)  # SLOTS bytes
+
+    def run(batches):
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = np.frombuffer(raw, "<u8")
+                hot = sent.value[(s % np.uint64(SLOTS)).astype(np.int64)] > 0
+                rest = s[~hot].view(np.int64)
+                yield pa.RecordBatch.from_pydict({"id": np.full(len(rest) + 1, i), "token": pa.array(np.append(rest, 0), mask=np.append(np.zeros(len(rest), bool), True)),
+                                                  "hot": np.append(np.zeros(len(rest), np.int64), int(hot.sum()))})
+
+    tokens = map_arrow(sets.select("id", "shingles"), run, "id long, token long, hot long")
+    rare = tokens.filter("token is not null").withColumn("c", F.count("*").over(W.partitionBy("token"))).filter("c > 1").groupBy("id").agg(F.count("*").alias("n"))
+    hot = tokens.filter("token is null").groupBy("id").agg(F.max("hot").alias("n"))
+    return rare.union(hot).groupBy("id").agg(F.sum("n").alias("reach"))
 
 
 def _release(spark) -> None:
@@ -161,20 +191,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = materialize(_signatures(docs, frequent(docs)))
+    often = frequent(docs)
+    seen = materialize(_signatures(docs, often))
     classes = materialize(seen.filter("n > 0 and doc_id is not null").groupBy("key", "n", "mark").agg(F.min("doc_id").alias("id")))
     placed_rows = materialize(seen.select("doc_id", "n", "key").join(classes.select("key", "id"), "key", "left").select("doc_id", "n", "id"))
     twice = placed_rows.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     one_id = placed_rows.join(twice, "doc_id").select(F.col("id").alias("a"), F.col("low").alias("b"))  # rows of one id
-    groups = classes.groupBy("mark", "n").agg(F.min("id").alias("gid"), F.count("*").alias("members"))
-    members = materialize(classes.join(groups, ["mark", "n"]).select("key", "n", "id", "gid", "members"))
-    heads = seen.join(members.filter("id = gid").select("key", F.col("gid").alias("doc_id"), "gid").distinct(), ["key", "doc_id"])
-    tokens = heads.select(F.explode("prefix").alias("token"), "gid", "n")
-    rows = materialize(_repeated(tokens))
+    members = materialize(classes.select("key", "n", "id", F.col("mark").alias("gid"), F.count("*").over(W.partitionBy("mark")).alias("members")))
+    tokens = seen.filter("prefix is not null and doc_id is not null").select(F.explode("prefix").alias("token"), F.col("mark").alias("gid"), "n")
+    rows = _repeated(tokens)
+    # a group that shares too few tokens takes no part
+    rows = rows.withColumn("c", F.count("*").over(W.partitionBy("gid"))).filter(F.col("c") >= _need(F.col("n")))
+    rows = materialize(rows.select("token", "gid", "n", (F.col("c") / F.col("n")).alias("share")))
     _release(spark)
-    for _ in range(2):  # groups that share too few tokens take no part, which leaves some tokens single
-        enough = rows.groupBy("gid", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= _need(F.col("n"))).select("gid")
-        rows = materialize(_repeated(rows.join(enough, "gid", "left_semi")))
     inside = members.join(rows.select("gid").distinct(), "gid", "left_semi").unionByName(members.filter("members > 1")).distinct()
     wanted = materialize(inside.select("key", "id", "gid", "n"))
 
@@ -189,14 +218,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     _release(spark)
 
     # Every group against one leader: of the groups that share a token, the one with the largest share of repeated tokens.
-    degree = rows.groupBy("gid", "n").agg((F.count("*") / F.max("n")).alias("share"))
-    ranked = rows.join(degree.select("gid", "share"), "gid")
-    first = ranked.groupBy("token").agg(F.max(F.struct("share", (-F.col("gid")).alias("back"), "n")).alias("top")).select(
-        "token", (-F.col("top.back")).alias("leader"), F.col("top.n").alias("m"))
+    first = rows.groupBy("token").agg(F.max(F.struct("share", "gid", "n")).alias("top")).select("token", F.col("top.gid").alias("leader"), F.col("top.n").alias("m"))
     near = (rows.join(first, "token").filter((F.col("gid") != F.col("leader")) & _sizes_fit(F.col("n"), F.col("m")))
-            .groupBy("gid", "leader").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max(F.struct("c", "leader")).alias("top")))
-    star = near.select(F.col("gid").alias("a"), F.col("top.leader").alias("b")).union(wanted.filter("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b")))
-    links = materialize(verify(star, sets).union(one_id))
+            .groupBy("gid", "leader").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max(F.struct("c", "leader")).alias("top")).select("gid", F.col("top.leader").alias("leader")))
+    heads = wanted.groupBy("gid").agg(F.min("id").alias("head"))
+    star = (near.join(heads, "gid").withColumnRenamed("head", "a").join(heads.select(F.col("gid").alias("leader"), F.col("head").alias("b")), "leader").select("a", "b")
+            .union(wanted.join(heads, "gid").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))))
+    tried = materialize(verify(star, sets))
+    links = materialize(linked(tried).union(one_id))
     found = components(links)
 
     # What is still open: members of two components in groups that share enough tokens.
@@ -206,8 +235,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     marked = rows.join(spread, "gid")
     mixed = marked.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
     marked = materialize(marked.join(mixed, "token", "left_semi"))
+    # Only shingles that another open document has can be shared; most documents with changes of their own drop out here.
+    reach = _shared_counts(sets.join(placed.join(marked.select("gid").distinct(), "gid").select("id").distinct(), "id"), often)
+    reach = placed.join(reach, "id").groupBy("gid").agg(F.max("reach").alias("reach"))
+    marked = materialize(marked.join(reach, "gid").filter(F.col("reach") * 100 >= F.col("n") * PERCENT))
+    _release(spark)
     x, y = marked.alias("x"), marked.alias("y")
-    open_groups = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & _sizes_fit(F.col("x.n"), F.col("y.n"))
+    enough = F.least("x.reach", "y.reach") * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
+    open_groups = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & _sizes_fit(F.col("x.n"), F.col("y.n")) & enough
                           & ((F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))))
                    .groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"))
                    .filter(F.col("c") >= F.least(_surplus(F.col("na")), _surplus(F.col("nb")))).select("ga", "gb"))
@@ -215,7 +250,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     a, b = (placed.select(F.col("id").alias(i), F.col("gid").alias(g), F.col("root").alias(r)) for i, g, r in (("a", "ga", "ra"), ("b", "gb", "rb")))
     pairs = open_groups.join(a, "ga").join(b, "gb").filter("ra <> rb and (ga <> gb or a < b)").select("a", "b")
     _release(spark)
-    more = materialize(verify(pairs, sets))
+    more = materialize(linked(verify(pairs, sets)))
     found = components(links.union(more))
 
     roots = placed_rows.join(found, F.col("id") == F.col("node"), "left")
