@@ -302,5 +302,9 @@ def _joined(spans):
 def op10(spark, sf_dir: str) -> DataFrame:
     got = find(load(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
-    return got.select(F.col("row.doc_id").alias("doc_id"), *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return got.select(F.col("row.doc_id").alias("doc_id"), *[count(k) for k in KINDS],
                       F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
