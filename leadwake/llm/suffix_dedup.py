@@ -316,23 +316,22 @@ def _resolve(batches):
 
 
 def _cut_out(texts: DataFrame, stretches_: DataFrame) -> DataFrame:
-    """(m, doc, p, content) of stretches, from the texts."""
+    """(m, doc, p, content, kinds) of stretches, from the texts."""
 
     def run(batches):
         for b in batches:
-            m, doc, ps, out = [], [], [], []
-            for d, text, wanted in zip(*(c.to_pylist() for c in b.columns)):
+            out = {"m": [], "doc": [], "p": [], "content": [], "kinds": []}
+            for doc, text, wanted in zip(*(c.to_pylist() for c in b.columns)):
                 raw = text.encode()
                 for w in wanted:
                     lo = w["p"] >> 16 & 0xFFFFFFFF
-                    m.append(w["m"])
-                    doc.append(d)
-                    ps.append(w["p"])
-                    out.append(raw[lo:lo + (w["p"] >> 8 & 0xFF) + WINDOW - 1])
-            yield pa.RecordBatch.from_pydict({"m": pa.array(m, pa.int64()), "doc": pa.array(doc, pa.int64()), "p": pa.array(ps, pa.int64()), "content": pa.array(out, pa.binary())})
+                    row = (w["m"], doc, w["p"], raw[lo:lo + (w["p"] >> 8 & 0xFF) + WINDOW - 1], w["kinds"])
+                    for name, value in zip(out, row):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict({name: pa.array(v, pa.binary() if name == "content" else pa.int64()) for name, v in out.items()})
 
-    per_doc = stretches_.groupBy("doc", F.shiftright("p", 48).alias("tag")).agg(F.collect_list(F.struct("m", "p")).alias("wanted"))
-    return map_arrow(texts.join(per_doc, ["doc", "tag"]).select("doc", "text", "wanted"), run, "m long, doc long, p long, content binary")
+    per_doc = stretches_.groupBy("doc", F.shiftright("p", 48).alias("tag")).agg(F.collect_list(F.struct("m", "p", "kinds")).alias("wanted"))
+    return map_arrow(texts.join(per_doc, ["doc", "tag"]).select("doc", "text", "wanted"), run, "m long, doc long, p long, content binary, kinds long")
 
 
 def _singly(crowded: DataFrame) -> DataFrame:
@@ -384,15 +383,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = materialize(rows.filter(open_ | later).select("m", "sh", "doc", "p", "kind", "kinds", later.alias("later")))
     _release(spark)
     settled = rows.filter("later").select("doc", "p", F.when(F.col("kind") == 1, F.col("sh")).otherwise(F.shiftright("p", 8).bitwiseAND(F.lit(255))).alias("length"))
-    todo = rows.filter("not later")
-    cut = _cut_out(texts, todo.filter(F.col("kinds") <= CROWDED))
-    runs = materialize(map_arrow(cut.repartition("m").sortWithinPartitions("m"), _resolve, "doc long, p long, length long"))
+    cut = materialize(_cut_out(texts, rows.filter("not later")))
+    _release(spark)
+    alone = cut.filter(F.col("kinds") <= CROWDED).select("m", "doc", "p", "content").repartition("m").sortWithinPartitions("m")
+    found = settled.union(materialize(map_arrow(alone, _resolve, "doc long, p long, length long")))
+    found = found.union(materialize(_singly(cut.filter(F.col("kinds") > CROWDED).select("m", "doc", "p", "content"))))
     _release(spark)
-    found = settled.union(runs)
-    crowded = todo.filter(F.col("kinds") > CROWDED)
-    if not crowded.isEmpty():
-        found = found.union(materialize(_singly(_cut_out(texts, crowded))))
-        _release(spark)
     start = F.shiftright("p", 16).bitwiseAND(F.lit(0xFFFFFFFF))
     per_doc = found.groupBy("doc", F.shiftright("p", 48).alias("tag")).agg(F.collect_list(F.struct(start.alias("a"), "length")).alias("runs"))
 
