@@ -91,6 +91,13 @@ def _windows(text: str, spans) -> list[tuple[int, int]]:
     return out
 
 
+def _address(s: str) -> str:
+    """Whether what stands before and after the at-sign reads as a name and a host."""
+    name, host = (_AT.split(s) if "@" not in s else s.split("@"))[:2]
+    whole = re.fullmatch(r"[\w-]+((\.| dot )[\w-]+)+", host.strip())
+    return f"name={bool(re.fullmatch(r'[\w.%+-]+', name.strip()))},host={bool(whole)},end={bool(re.search(r'(\.| dot )[^\W\d_]{2,6}$', s))}"
+
+
 def _candidates(text: str, blocked=()) -> tuple[int, list]:
     """Number of tokens, and (first, last + 1, kind, start, end, features) of every segment that could be an entity."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
@@ -128,7 +135,7 @@ def _candidates(text: str, blocked=()) -> tuple[int, list]:
                           f"spaces={min(s.count(' '), 9)}", f"first={words[i] if words[i] in '+(' else 'x'}"]
                 for kind in kinds:
                     own = {"card": f"luhn={len(d) >= 16 and luhn(d)}", "ip": f"octets={len(parts) == 4 and all(int(p) <= 255 for p in parts)}",
-                           "email": f"at={'@' in s},{bool(re.search(r'(\.| dot )[^\W\d_]{2,6}$', s))}", "phone": f"groups={','.join(str(len(p)) for p in parts)[:12]}"}[kind]
+                           "email": _address(s) if kind == "email" else "", "phone": f"groups={','.join(str(len(p)) for p in parts)[:12]}"}[kind]
                     out.append((i, j, kind, start, end, [f"{kind}:{f}" for f in (*common, own)]))
     return len(tokens), out
 
