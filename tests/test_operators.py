@@ -159,8 +159,8 @@ def test_blind_sample_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, issuer string, year int, direction string, specific boolean")
     got = {r["doc_id"] for r in sampling.blind_sample(df, 12, 3).collect()}
     full = df.withColumns({"tier": ((F.col("direction") == "neutra") & ~F.col("specific")).cast("int"),
-                           "tie": sampling.hash_key(3, "desempate", F.col("doc_id")), "stratum": sampling.hash_key(3, "estrato", F.col("direction"))}).toPandas()
-    assert got == set(sampling._pick(full, 12, 3)["doc_id"]) and len(got) == 12
+                           "tie": sampling.hash_key(3, "desempate", F.col("doc_id")), "stratum": sampling.hash_key(3, "estrato", F.col("direction"))}).collect()
+    assert got == {r.doc_id for r in sampling.choose(full, 12)} and len(got) == 12
 
 
 def test_hidden_columns():
