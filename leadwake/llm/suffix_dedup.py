@@ -20,7 +20,7 @@ from leadwake.session import materialize
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
 #: Bytes scanned at once; stretches sorted at once; different stretches per minimizer beyond which windows are dealt singly.
-CHUNK_BYTES, CHUNK_ROWS, CROWDED = 4 << 20, 40_000, 20_000
+CHUNK_BYTES, CHUNK_ROWS, CROWDED = 2 << 20, 20_000, 20_000
 #: Depth of the multikey quicksort in bytes; blind tries take over below.
 SHALLOW = 24
 
