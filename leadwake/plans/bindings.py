@@ -124,9 +124,9 @@ def sector_table(spark: SparkSession, sf: str) -> DataFrame:
                     F.when(F.col("acctbal") < -600, "pendente").otherwise("confirmado").alias("review_status")))
 
 
-def study(spark: SparkSession, sf: str, cfg: Settings = MONTHLY):
+def study(spark: SparkSession, sf: str, cfg: Settings = MONTHLY, bars: DataFrame | None = None):
     from leadwake.plans.walk_forward import Study
-    return Study(quotes(spark, sf, "month"), sector_table(spark, sf), cfg, MIN_INSTRUMENTS, windows(spark, cfg))
+    return Study(quotes(spark, sf, "month") if bars is None else bars, sector_table(spark, sf), cfg, MIN_INSTRUMENTS, windows(spark, cfg), bars is not None)
 
 
 def reference_prices(spark: SparkSession, sf: str, freq: str = "day") -> DataFrame:

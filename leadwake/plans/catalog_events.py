@@ -15,10 +15,9 @@ _EVENT_STUDIES: dict = {}
 
 
 def study(c) -> EventStudy:
-    base = c.study
-    if id(base) not in _EVENT_STUDIES:
-        _EVENT_STUDIES[id(base)] = EventStudy(base, b.filings(c.spark, c.sf), b.document_labels(c.spark, c.sf))
-    return _EVENT_STUDIES[id(base)]
+    if c.key not in _EVENT_STUDIES:
+        _EVENT_STUDIES[c.key] = EventStudy(c.study, b.filings(c.spark, c.sf), b.document_labels(c.spark, c.sf))
+    return _EVENT_STUDIES[c.key]
 
 
 define("x_fil", """

@@ -10,17 +10,39 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from leadwake.operators import returns, sessions
 from leadwake.oracle.ctes import resolve
 from leadwake.plans import bindings as b
+from leadwake.session import materialize, shared_folder
 
 
 _STUDIES: dict = {}
+_TABLES: dict = {}
+
+
+def _identity(spark: SparkSession, folder: str) -> tuple:
+    """Names, lengths and times of what the folder holds, so that changed inputs never meet stored tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 class Context:
-    """The domain tables of one folder of test data, each a lazy plan."""
+    """The domain tables of one folder of test data.
+
+    Bars and calendars are stored once per session and state of the inputs, like the stages of the study: queries then read
+    small narrow tables instead of the lines, and Spark knows the calendar's size and sends it to the bars.
+    """
 
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = spark, sf.rstrip("/")
 
+    @cached_property
+    def key(self) -> tuple:
+        return self.spark.sparkContext.applicationId, shared_folder(self.spark), self.sf, _identity(self.spark, self.sf)
+
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if (self.key, name) not in _TABLES:
+            _TABLES[self.key, name] = materialize(build())
+        return _TABLES[self.key, name]
+
     def table(self, name: str) -> DataFrame:
         return b.table(self.spark, self.sf, name)
 
@@ -29,10 +51,9 @@ class Context:
     @property
     def study(self):
         """Stage tables are stored once per session and data folder and then shared by queries."""
-        key = (self.spark.sparkContext.applicationId, self.sf)
-        if key not in _STUDIES:
-            _STUDIES[key] = b.study(self.spark, self.sf)
-        return _STUDIES[key]
+        if self.key not in _STUDIES:
+            _STUDIES[self.key] = b.study(self.spark, self.sf, b.MONTHLY, self.monthly)
+        return _STUDIES[self.key]
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -40,11 +61,11 @@ class Context:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return b.quotes(self.spark, self.sf, "day")
+        return self.stored("daily", lambda: b.quotes(self.spark, self.sf, "day"))
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return b.quotes(self.spark, self.sf, "month")
+        return self.stored("monthly", lambda: b.quotes(self.spark, self.sf, "month"))
 
     @cached_property
     def sectors(self) -> DataFrame:
@@ -52,7 +73,7 @@ class Context:
 
     def calendar(self, freq: str = "day") -> DataFrame:
         q = self.daily if freq == "day" else self.monthly
-        return sessions.session_calendar(q.select("date", "instrument"), b.MIN_INSTRUMENTS)
+        return self.stored(f"calendar of {freq}", lambda: sessions.session_calendar(q.select("date", "instrument"), b.MIN_INSTRUMENTS))
 
     def panel(self, freq: str = "day") -> DataFrame:
         q = self.daily if freq == "day" else self.monthly

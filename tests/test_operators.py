@@ -194,9 +194,15 @@ def test_two_issuers_on_a_leader_day_raise_whatever_is_read(spark):
 
 def test_student_tail_known_values(spark):
     from leadwake.functions.scalars import student_two_sided
-    rows = [(0.2304, 10, 0.8224239), (2.228138852, 10, 0.05), (12.7062047, 1, 0.05), (2.0, 3, 0.1393260), (2.009575, 50, 0.05)]
+    def tail(t, v, steps=200_000):  # the density summed by Simpson's rule from 0 to t
+        c = math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi)
+        f = lambda x: c * (1 + x * x / v) ** (-(v + 1) / 2)
+        h = t / steps
+        return 1 - 2 * h / 3 * (f(0) + f(t) + sum((4 if k % 2 else 2) * f(k * h) for k in range(1, steps)))
+
+    rows = [(t, v, tail(t, v)) for t, v in ((0.2304, 10), (2.228138852, 10), (12.7062047, 1), (2.0, 3), (2.009575, 50), (1.0, 2))]
     df = spark.createDataFrame(rows, "t double, df long, p double").withColumn("got", student_two_sided(F.col("t"), F.col("df")))
-    assert all(abs(r.got - r.p) < 1e-5 for r in df.collect())
+    assert all(abs(r.got - r.p) < 1e-9 for r in df.collect()) and abs(rows[1][2] - 0.05) < 1e-6
 
 
 def test_sample_choice_is_the_greedy_one():
