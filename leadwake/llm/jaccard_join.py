@@ -213,7 +213,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             same = pa.array([hashlib.blake2b(s, digest_size=16).digest() == k for s, k in zip(sets, b.column(1).to_pylist())])
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "shingles": pa.array(sets, pa.binary())}).filter(same)
 
-    texts = wanted.select("id", "key").join(docs, F.col("id") == F.col("doc_id")).select("id", "key", "text")
+    # One plan at every size: ids and texts are dealt by id, never broadcast.
+    texts = docs.join(wanted.select("id", "key").hint("shuffle_hash"), F.col("id") == F.col("doc_id")).select("id", "key", "text")
     sets = materialize(map_arrow(texts, whole, "id long, shingles binary"))
     _release(spark)
 
@@ -238,14 +239,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # Only shingles that another open document has can be shared; most documents with changes of their own drop out here.
     reach = _shared_counts(sets.join(placed.join(marked.select("gid").distinct(), "gid").select("id").distinct(), "id"), often)
     reach = placed.join(reach, "id").groupBy("gid").agg(F.max("reach").alias("reach"))
-    marked = materialize(marked.join(reach, "gid").filter(F.col("reach") * 100 >= F.col("n") * PERCENT))
+    marked = marked.join(reach, "gid").filter(F.col("reach") * 100 >= F.col("n") * PERCENT)
+    # Each row knows its group's tokens, at most a prefix, so that a pair is met at its first shared token only.
+    own = marked.groupBy("gid").agg(F.collect_list("token").alias("own"))
+    marked = materialize(marked.join(own, "gid"))
     _release(spark)
     x, y = marked.alias("x"), marked.alias("y")
+    both = F.array_intersect("x.own", "y.own")
     enough = F.least("x.reach", "y.reach") * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
-    open_groups = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & _sizes_fit(F.col("x.n"), F.col("y.n")) & enough
-                          & ((F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))))
-                   .groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"))
-                   .filter(F.col("c") >= F.least(_surplus(F.col("na")), _surplus(F.col("nb")))).select("ga", "gb"))
+    apart = (F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))
+    open_groups = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & _sizes_fit(F.col("x.n"), F.col("y.n")) & enough & apart
+                         & (F.size(both) + F.greatest(_rest(F.col("x.n")), _rest(F.col("y.n"))) >= F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT)))
+                         & (F.array_min(both) == F.col("x.token"))).select(
+        F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
     open_groups = open_groups.union(spread.filter("low < high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
     a, b = (placed.select(F.col("id").alias(i), F.col("gid").alias(g), F.col("root").alias(r)) for i, g, r in (("a", "ga", "ra"), ("b", "gb", "rb")))
     pairs = open_groups.join(a, "ga").join(b, "gb").filter("ra <> rb and (ga <> gb or a < b)").select("a", "b")
@@ -257,6 +263,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return roots.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "id", "doc_id")).alias("component_id"))
 
 
+def _rest(n: Column) -> Column:
+    """Tokens behind the prefix.  What two sets share beyond their prefixes lies behind the prefix that ends first."""
+    return F.greatest(F.lit(0), F.ceil(n * PERCENT / 100) - _surplus(n))
+
+
 def _surplus(n: Column) -> Column:
     return F.floor(n / STEP) + 1
 
