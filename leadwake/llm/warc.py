@@ -23,7 +23,7 @@ from leadwake.session import materialize, shared_folder
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: Bytes of records per archive; a larger record has an archive of its own.
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES = 8 << 20
 DICTIONARY_BYTES, TRAINING_RECORDS, TRAINING_BYTES = 16 << 10, 128, 8 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: One date for all records, so that reruns write equal archives.
