@@ -26,7 +26,7 @@ WORDS, PERCENT = 5, 80
 SLOTS = 1 << 22
 #: Every so many shingles of a document add one to what a prefix must share.
 STEP = 20
-MEMO_SIZE = 500_000
+MEMO_SIZE = 150_000
 
 
 class _Hashes(dict):

@@ -25,7 +25,7 @@ SLOTS, FIT_ROWS, ROUNDS = 1 << 16, 6_000, 80
 SCALE = 30.0
 #: Rejected: documents whose probability of the given grade or more is below the limit.
 KEEP_GRADE, KEEP_LIMIT = 1, 0.25
-MEMO_SIZE = 300_000
+MEMO_SIZE = 150_000
 _WORDS = re.compile(WORD)
 _LETTERS = re.compile(r"[^\W\d_]")
 

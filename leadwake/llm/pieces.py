@@ -19,8 +19,8 @@ from leadwake.llm.common import load, map_arrow
 BAR = "▁"
 CUT = "\x01"
 #: Segments longer than this are encoded anew each time; between texts the memo holds so many shorter ones at most.
-MEMO_CHARS, MEMO_SIZE = 48, 400_000
-PAIR_SIZE = 2_000_000
+MEMO_CHARS, MEMO_SIZE = 48, 150_000
+PAIR_SIZE = 400_000
 
 
 class PieceCoder:
