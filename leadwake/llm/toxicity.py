@@ -1,15 +1,20 @@
-"""Operator 5: toxicity by class-conditional Kneser-Ney models of characters.
+"""Operator 5: toxicity by class-conditional models of the characters of words.
 
-Texts are folded to 32 symbols, so a model of 4 symbols has 2^20 entries whatever the corpus.  Every document is counted
-in the class of its label (toxic, ordinary, or none).  The two classes have counts of their own at the top order; they
-back off to one shared model, whose continuation counts come from all documents, so what is rare in a class is judged by
-the same lower orders in both.  A document's log-likelihood ratio is divided by its length, for the whole text and for
-the windows of it, and a logistic curve over both gives the score.
+Words are taken as they are written, in lower case and in any script, and cut into runs of 5 characters with their edges
+(of 2 in scripts without spaces).  Every document is counted once under each of its runs, in the class of its label (toxic,
+ordinary, or none).  The counts are a Spark table with one row per different run, so they grow with the corpus; nothing
+of it goes to the driver.  Both classes are interpolated with one shared model of all documents and a uniform one.
+
+Texts are read once and never exchanged: a chunk of documents becomes one row that lists its different runs, and which
+words and runs each document has.  Chunks fetch the counts of their runs by a join.  A document that was counted is scored
+without its own counts.  Its log-likelihood ratio per run and that of its highest runs go into a logistic curve.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +23,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leadwake.llm.common import load, map_arrow
 from leadwake.session import materialize
 
+RUN, DENSE_RUN = 5, 2
+#: Characters of text in one chunk; runs that make the peak.
+CHUNK_CHARS, PEAK = 24 << 20, 3
+#: Documents' worth of the uniform model, and share of the model of all documents.
+UNIFORM, SHARED = 2.0, 0.01
+#: Of the dense model of folded symbols below; op5 doesn't use it.
 ORDER, BITS = 4, 5
 SYMBOLS, ENTRIES = 1 << BITS, 1 << (BITS * ORDER)
-WINDOW = 48
 #: Labelled documents, of those that may be learnt from, whose features fit the logistic curve.
 CURVE_ROWS = 20_000
 DISCOUNT = 0.75
@@ -55,23 +65,6 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[inside], lengths
 
 
-def counts(classed: DataFrame) -> DataFrame:
-    """(code, n_none, n_ordinary, n_toxic) from (text, class 0, 1 or 2): counted per task first, at most 2^20 rows come out."""
-
-    def run(batches):
-        total = np.zeros(3 * ENTRIES, np.int64)
-        for b in batches:
-            codes, lengths = grams([t or "" for t in b.column(0).to_pylist()])
-            which = np.repeat(np.asarray(b.column(1).to_pylist(), np.int64), lengths)
-            total += np.bincount(which * ENTRIES + codes, minlength=3 * ENTRIES)
-        total = total.reshape(3, ENTRIES)
-        for part in np.array_split(np.flatnonzero(total.any(axis=0)), 16):
-            yield pa.RecordBatch.from_pydict({"code": pa.array(part.astype(np.int32)), **{n: pa.array(total[k, part]) for k, n in enumerate(("n_none", "n_ordinary", "n_toxic"))}})
-
-    per_task = map_arrow(classed.select("text", "class"), run, "code int, n_none long, n_ordinary long, n_toxic long")
-    return per_task.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("n_none", "n_ordinary", "n_toxic")])
-
-
 def _interpolate(top: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Absolute discounting of counts over the last axis, the rest spread as ``lower`` says; lower itself without counts."""
     total = top.sum(axis=-1, keepdims=True)
@@ -94,25 +87,156 @@ def ratio_table(n_all: np.ndarray, n_ordinary: np.ndarray, n_toxic: np.ndarray)
     return (np.log(toxic) - np.log(ordinary)).reshape(-1).astype(np.float32)
 
 
-def features(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(doc_id, mean, peak, length): the ratio per character of the whole text, and of its highest window."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)  # 2^20 numbers
+_WORD = re.compile(r"\w+|[^\w\s]")
+#: Scripts that don't part words by spaces: Thai to Khmer, and from the CJK radicals to the end of Hangul, and beyond the first plane.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
+INDEX = "chunk long, doc_ids array<long>, sizes binary, words binary, lengths binary, vocabulary binary"
+
+
+def word_runs(word: str) -> list[str]:
+    """The different runs of one word, led and followed by a space."""
+    n, word = DENSE_RUN if _DENSE.search(word) else RUN, f" {word} "
+    return list(dict.fromkeys(word[k:k + n] for k in range(max(1, len(word) - n + 1))))
+
+
+def _zip(numbers) -> bytes:
+    """Numbers below 2^31, lowest bytes first: what compresses well."""
+    return zlib.compress(np.asarray(numbers, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _unzip(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel().astype(np.int64)
+
+
+def _index(batches, chunk_chars: int = CHUNK_CHARS):
+    """One row per chunk of (doc_id, text): the different words, frequent ones first, and those of each document as rising numbers."""
+    from pyspark import TaskContext
+    task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+    vocabulary: dict[str, int] = {}
+
+    def flush():
+        sizes = np.array([len(w) for _, w, _ in held], np.int64)
+        words, of = np.concatenate([w for _, w, _ in held]), np.repeat(np.arange(len(sizes)), sizes)
+        often = np.argsort(-np.bincount(words, minlength=len(vocabulary)), kind="stable")
+        number = np.empty(len(often), np.int64)
+        number[often] = np.arange(len(often))
+        words = np.sort(of * max(len(often), 1) + number[words]) - of * max(len(often), 1)
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        steps = np.diff(words, prepend=0)
+        steps[starts] = words[starts]
+        named = list(vocabulary)
+        return pa.RecordBatch.from_pydict({
+            "chunk": pa.array([(task << 32) + made], pa.int64()), "doc_ids": pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), "sizes": [_zip(sizes)],
+            "words": [_zip(steps)], "lengths": [_zip([n for _, _, n in held])], "vocabulary": [zlib.compress("\n".join(named[k] for k in often).encode(errors="surrogatepass"), 3)]})
+
+    for b in batches:
+        for doc, text in zip(*(c.to_pylist() for c in b.columns)):
+            text = text or ""
+            held.append((doc, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in set(_WORD.findall(text.lower()))], np.int32), len(text)))
+            size += len(text) + 64
+            if size >= chunk_chars:
+                yield flush()
+                made, held, size, vocabulary = made + 1, [], 0, {}
+    if held:
+        yield flush()
+
+
+def _runs(row: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different runs of a chunk in an order of their own, the number of them in each word, and which."""
+    runs: dict[str, int] = {}
+    text = zlib.decompress(row["vocabulary"]).decode(errors="surrogatepass")
+    links = [[runs.setdefault(r, len(runs)) for r in word_runs(w)] for w in text.split("\n")] if text else []
+    return list(runs), np.array([len(x) for x in links], np.int64), np.array([r for x in links for r in x], np.int64)
+
+
+def _pairs(row: dict, n_runs: int, spread: np.ndarray, links: np.ndarray):
+    """Blocks of a chunk: (first document, last + 1, document and run of each different pair), by document."""
+    sizes, steps = _unzip(row["sizes"]), _unzip(row["words"])
+    stops, ends, running = np.cumsum(sizes), np.cumsum(spread), np.cumsum(steps)
+    words = running - np.repeat(np.concatenate(([0], running))[stops - sizes], sizes)
+    for a in range(0, len(sizes), 256):
+        z = min(a + 256, len(sizes))
+        mine, of = words[stops[a] - sizes[a]:stops[z - 1]], np.repeat(np.arange(a, z), sizes[a:z])
+        n = spread[mine]
+        at = np.repeat(ends[mine] - np.cumsum(n), n) + np.arange(n.sum())
+        pairs = np.unique(np.repeat(of, n) * n_runs + links[at])
+        yield a, z, pairs // max(n_runs, 1), pairs % max(n_runs, 1)
+
+
+def _classes(row: dict) -> np.ndarray:
+    out = np.zeros(len(row["doc_ids"]), np.int64)
+    for x in row["known"] or []:
+        out[x["pos"]] = x["class"]
+    return out
+
+
+def _count(batches):
+    for b in batches:
+        for row in b.to_pylist():
+            runs, *parts = _runs(row)
+            total, classes = np.zeros((3, len(runs)), np.int64), _classes(row)
+            for _, _, doc, run in _pairs(row, len(runs), *parts):
+                np.add.at(total, (classes[doc], run), 1)
+            yield pa.RecordBatch.from_pydict({"run": pa.array(runs, pa.string()), **{n: pa.array(total[k]) for k, n in enumerate(("n_none", "n_ordinary", "n_toxic"))}})
+
+
+def _with_classes(index: DataFrame, placed: DataFrame) -> DataFrame:
+    return index.join(placed.hint("merge"), "chunk", "left")
+
+
+def run_counts(indexed: DataFrame) -> DataFrame:
+    """(run, n_none, n_ordinary, n_toxic): documents of each class that have the run; one row per different run."""
+    per_chunk = map_arrow(indexed, _count, "run string, n_none long, n_ordinary long, n_toxic long")
+    return per_chunk.groupBy("run").agg(*[F.sum(c).alias(c) for c in ("n_none", "n_ordinary", "n_toxic")])
+
+
+def log_ratio(n_all, n_ordinary, n_toxic, of_all, of_ordinary, of_toxic) -> np.ndarray:
+    """log P(run | toxic) - log P(run | ordinary); a run that no labelled document has gets 0."""
+    rest = UNIFORM / max(of_ordinary + of_toxic, 1) + SHARED * n_all / max(of_all, 1)
+    return np.log(n_toxic / max(of_toxic, 1) + rest) - np.log(n_ordinary / max(of_ordinary, 1) + rest)
+
+
+def _wanted(batches):
+    for b in batches:
+        for row in b.to_pylist():
+            runs = _runs(row)[0]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(runs), row["chunk"])), "pos": pa.array(np.arange(len(runs), dtype=np.int32)), "run": pa.array(runs, pa.string())})
+
+
+def features(index: DataFrame, placed: DataFrame, counts: DataFrame, of: tuple[int, int, int]) -> DataFrame:
+    """(doc_id, mean, peak, length): the ratio of all runs of a document, and of its highest ones."""
+    wanted = map_arrow(index.select("chunk", "vocabulary"), _wanted, "chunk long, pos int, run string")
+    got = wanted.join(counts.hint("merge"), "run").groupBy("chunk").agg(F.collect_list(F.struct("pos", "n_none", "n_ordinary", "n_toxic")).alias("found"))
 
     def run(batches):
         for b in batches:
-            codes, lengths = grams([t or "" for t in b.column(1).to_pylist()])
-            running = np.concatenate(([0.0], np.cumsum(sent.value[codes], dtype=np.float64)))
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
-            mean = (running[ends] - running[starts]) / np.maximum(lengths, 1)
-            peak = np.zeros(len(lengths))
-            for k, (a, z) in enumerate(zip(starts, ends)):
-                if z > a:
-                    w = min(WINDOW, z - a)
-                    peak[k] = (running[a + w:z + 1] - running[a:z + 1 - w]).max() / w
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "mean": pa.array(mean), "peak": pa.array(peak), "length": pa.array(np.log1p(lengths))})
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, mean double, peak double, length double")
+            found = b.column(b.schema.get_field_index("found"))
+            for k, row in enumerate(b.drop_columns(["found"]).to_pylist()):
+                runs, *parts = _runs(row)
+                n = np.zeros((3, len(runs)), np.int64)
+                flat = found.slice(k, 1).flatten()
+                if len(flat):
+                    at, *values = (x.to_numpy(zero_copy_only=False) for x in flat.flatten())
+                    n[:, at] = values
+                classes, lengths = _classes(row), _unzip(row["lengths"])
+                mean, peak = np.zeros(len(classes)), np.zeros(len(classes))
+                for a, z, doc, of_run in _pairs(row, len(runs), *parts):
+                    kind = classes[doc]
+                    ratio = np.zeros(len(doc))
+                    for c in range(3):  # without the document itself
+                        mine, own = kind == c, np.arange(3) == c
+                        none, ordinary, toxic = n[:, of_run[mine]] - own[:, None]
+                        less = np.array(of) - own
+                        ratio[mine] = log_ratio(none + ordinary + toxic, ordinary, toxic, less.sum(), less[1], less[2])
+                    stops = np.searchsorted(doc, np.arange(a, z + 1))
+                    for d in range(a, z):
+                        r = ratio[stops[d - a]:stops[d - a + 1]]
+                        if len(r):
+                            mean[d], peak[d] = r.mean(), np.partition(r, -min(PEAK, len(r)))[-PEAK:].mean()
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_ids"], pa.int64()), "mean": pa.array(mean), "peak": pa.array(peak), "length": pa.array(np.log1p(lengths))})
+
+    return map_arrow(_with_classes(index, placed).join(got.hint("merge"), "chunk", "left"), run, "doc_id long, mean double, peak double, length double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -144,13 +268,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     known = materialize(known)
-    # One plan at every size: labels are dealt with the texts by id, never broadcast.
-    classed = docs.join(known.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce(F.when(F.col("toxic") > 0, 2).otherwise(F.when(F.col("toxic") == 0, 1)), F.lit(0)).alias("class"))
-    got = counts(classed).toArrow()
-    n = np.zeros((3, ENTRIES))
-    for k, name in enumerate(("n_none", "n_ordinary", "n_toxic")):
-        n[k, got["code"].to_numpy()] = got[name].to_numpy()
-    found = materialize(features(docs, ratio_table(n.sum(axis=0), n[1], n[2])))
+    index = materialize(map_arrow(docs.select("doc_id", "text"), _index, INDEX))
+    # One plan at every size: labels are dealt with the ids, never broadcast.
+    placed = index.select("chunk", F.posexplode("doc_ids").alias("pos", "doc_id")).join(known.hint("shuffle_hash"), "doc_id")
+    placed = placed.groupBy("chunk").agg(F.collect_list(F.struct("pos", F.when(F.col("toxic") > 0, 2).otherwise(1).alias("class"))).alias("known"))
+    placed = materialize(placed)
+    every = index.agg(F.sum(F.size("doc_ids"))).first()[0] or 0
+    learnt, toxic = (int(x or 0) for x in placed.agg(F.sum(F.size("known")), F.sum(F.size(F.filter("known", lambda x: x["class"] == 2)))).first())
+    counted = materialize(run_counts(_with_classes(index, placed)))
+    docs.sparkSession.sparkContext._jvm.java.lang.System.gc()  # lets Spark drop the shuffle files of what is written
+    found = materialize(features(index, placed, counted, (every - learnt, learnt - toxic, toxic)))
     sample = known.orderBy(F.xxhash64("doc_id")).limit(curve_rows)
     fit = found.join(sample, "doc_id").select("mean", "peak", "length", "toxic").toArrow()
     y = (fit["toxic"].to_numpy() > 0).astype(float)

@@ -184,6 +184,37 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.toxicity(docs_of(spark, EDGES), labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_counts_grow_and_tell_scripts_apart(spark):
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x430, 0x44f)]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(5, 8))) for _ in range(150)]
+    bad = [words.pop(), words.pop()]
+    # Each expression has a twin whose characters are the same modulo 3: one symbol for each could not part them.
+    twins = ["".join(chr(ord(c) + (3 if ord(c) < 0x43f else -3)) for c in w) for w in bad]
+    rows = []
+    for k in range(600):
+        w = [rng.choice(words) for _ in range(rng.randint(10, 40))]
+        w[rng.randrange(len(w))] = rng.choice(bad if k % 6 == 0 else twins)
+        rows.append((k, " ".join(w), "a"))
+    labels = spark.createDataFrame([(k, 1, int(k % 6 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
+    got = [r for r in toxicity.toxicity(docs_of(spark, rows), labels).collect() if r.held_out]
+    assert len(got) > 80 and np.mean([r.predicted == (r.doc_id % 6 == 0) for r in got]) > 0.97
+
+
+def test_run_counts_by_force(spark):
+    texts = ["", "漢字漢字 Ab", "abcdef ab, ab!", "Привет мир"] * 5 + [None, "x" * 400]
+    want = defaultdict(lambda: [0, 0, 0])
+    for k, t in enumerate(texts):
+        for r in {r for w in re.findall(r"\w+|[^\w\s]", (t or "").lower()) for r in toxicity.word_runs(w)}:
+            want[r][k % 3] += 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    index = toxicity.map_arrow(docs, lambda batches: toxicity._index(batches, 300), toxicity.INDEX).localCheckpoint()
+    known = index.select("chunk", F.posexplode("doc_ids").alias("pos", "doc_id")).filter("doc_id % 3 > 0").groupBy("chunk").agg(
+        F.collect_list(F.struct("pos", F.expr("cast(doc_id % 3 as int)").alias("class"))).alias("known"))
+    got = {r.run: [r.n_none, r.n_ordinary, r.n_toxic] for r in toxicity.run_counts(index.join(known, "chunk", "left")).collect()}
+    assert got == want and index.count() > 3
+
+
 # ---- 6 ---------------------------------------------------------------------------------------
 def test_deep_shallow_order():
     rng = random.Random(1)
