@@ -258,7 +258,16 @@ def deep_shallow(rows: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _settle(m, doc, p, content):
-    """Runs (doc, p of the start, length) of windows that also begin earlier, among stretches sorted by minimizer."""
+    """Runs (doc, p of the start, length) of windows that also begin earlier, among stretches sorted by minimizer.
+
+    A row that is given again, of a document whose row repeats, counts once.
+    """
+    first: dict = {}
+    for k, key in enumerate(zip(m.tolist(), doc.tolist(), p.tolist(), content)):
+        first.setdefault(key, k)
+    if len(first) < len(m):
+        kept = np.fromiter(first.values(), np.int64)
+        m, doc, p, content = m[kept], doc[kept], p[kept], [content[k] for k in kept]
     tag, lo, n, d0 = p >> 48, p >> 16 & 0xFFFFFFFF, p >> 8 & 0xFF, p & 0xFF
     right, left = np.zeros((len(m), WINDOW), np.uint8), np.zeros((len(m), SPAN - 1), np.uint8)
     for k, c in enumerate(content):

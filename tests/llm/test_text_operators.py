@@ -282,6 +282,20 @@ def test_repeats_edges(spark):
     assert suffix_dedup.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("crowded", [0, 20_000])
+def test_repeated_row_keeps_its_first_bytes(spark, monkeypatch, crowded):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+    rng = random.Random(3)
+    rows = []
+    for i in range(0, 60, 2):
+        long = "".join(rng.choice("abcdefgh ") for _ in range(400))
+        rows += [(i, long), (i, long), (i + 1, long[:200] + "#" + long[201:])]
+    got = defaultdict(set)
+    for r in suffix_dedup.remove_repeats(docs_of(spark, [(i, t, "a") for i, t in rows])).collect():
+        got[r.doc_id].add((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)))
+    assert got == {i: {x} for i, x in repeats_by_force(list(dict(rows).items())).items()}
+
+
 # ---- 7 ---------------------------------------------------------------------------------------
 def page_rows(spark, rows):
     return spark.createDataFrame([(i, u, h, "p", "s", 1) for i, u, h in rows], "page_id long, url string, html string, payload string, sha1 string, first int").repartition(2)
