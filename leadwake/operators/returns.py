@@ -95,6 +95,14 @@ def fill_sessions(rows: DataFrame, last_pos: Column | int, value_zero: tuple[str
     return spread.withColumn("filled", F.col("__at") > F.col("pos")).drop("pos", "__stop").withColumnRenamed("__at", "pos")
 
 
+def volumes_in_reach(panel: DataFrame, calendar: DataFrame, window: int) -> DataFrame:
+    """(instrument, pos, date, volume) of every session that a trailing window with a quote can end on; volume is null without a quote."""
+    last = calendar.agg(F.max("pos")).scalar()
+    due = fill_sessions(panel.select("instrument", "pos", "volume"), F.least(last, F.col("pos") + (window - 1)))
+    due = due.withColumn("volume", F.when(~F.col("filled"), F.col("volume"))).drop("filled")
+    return due.join(calendar.select("pos", "date"), "pos")
+
+
 def _trailing(window: int) -> W:
     return W.partitionBy("instrument").orderBy("pos").rangeBetween(-(window - 1), 0)
 

@@ -67,16 +67,16 @@ register("ret_07_marked_dense", "pos:i instrument:s ret:f filled:b",
          lambda c: _marked_dense(c).filter("ret is not null"),
          "SELECT pos, instrument, ret, p IS NULL AS filled FROM x_mmark WHERE ret IS NOT NULL")
 register("ret_09_median_liquidity", "date:d instrument:s liquidity:f",
-         lambda c: returns.median_liquidity(c.panel("month"), 12).filter("liquidity is not null"),
+         lambda c: returns.median_liquidity(returns.volumes_in_reach(c.panel("month"), c.calendar("month"), 12), 12).filter("liquidity is not null"),
          """SELECT date, instrument, liquidity FROM (
               SELECT *, CASE WHEN count(volume) OVER w >= 6 THEN median(volume) OVER w END AS liquidity FROM x_mdense
               WINDOW w AS (PARTITION BY instrument ORDER BY pos ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
-            WHERE volume IS NOT NULL AND liquidity IS NOT NULL""")
+            WHERE liquidity IS NOT NULL""")
 register("ret_10_traded_share", "date:d instrument:s traded_share:f",
-         lambda c: returns.traded_share(c.panel("month"), 12),
+         lambda c: returns.traded_share(returns.volumes_in_reach(c.panel("month"), c.calendar("month"), 12), 12).filter("traded_share is not null"),
          """SELECT date, instrument, traded_share FROM (
               SELECT *, avg(CASE WHEN volume IS NOT NULL THEN (volume > 0)::INT END) OVER (PARTITION BY instrument ORDER BY pos
-                ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS traded_share FROM x_mdense) WHERE volume IS NOT NULL""")
+                ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS traded_share FROM x_mdense) WHERE traded_share IS NOT NULL""")
 register("ret_11_realized_volatility", "pos:i instrument:s vol:f",
          lambda c: returns.realized_volatility(_marked_dense(c), 12).filter("vol is not null"),
          """SELECT pos, instrument, vol FROM (

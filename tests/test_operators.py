@@ -223,3 +223,10 @@ def test_sample_choice_is_the_greedy_one():
             years.add(best.year)
             issuers.add(best.issuer)
     assert [r.doc_id for r in choose(rows, 31)] == want
+
+
+def test_liquidity_has_every_session_in_reach(spark):
+    calendar = spark.createDataFrame([(k, date(2020, 1, 1) + timedelta(k)) for k in range(9)], "pos int, date date")
+    panel = spark.createDataFrame([("a", 0, 5.0), ("a", 2, 0.0), ("a", 7, 7.0)], "instrument string, pos int, volume double")
+    got = {r.pos: r.traded_share for r in returns.traded_share(returns.volumes_in_reach(panel, calendar, 3), 3).filter("traded_share is not null").collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: 0.5, 3: 0.0, 4: 0.0, 7: 1.0, 8: 1.0}
