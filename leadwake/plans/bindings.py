@@ -13,7 +13,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from leadwake.config import (DEFAULTS, Discovery, LeadLag, Liquidity, Metrics, Period, Placebo, Settings, StalePrice,
+from leadwake.config import (DEFAULTS, Discovery, LeadLag, Liquidity, Metrics, Period, Settings, StalePrice,
                              Strategy)
 from leadwake.operators import sessions
 
@@ -28,8 +28,7 @@ MONTHLY = replace(
     stale=StalePrice(min_trades=2),
     discovery=Discovery(q=0.35, top_k=8),
     strategy=Strategy(volatility_window=12),
-    metrics=Metrics(bootstrap_replicates=1000, bootstrap_block=5),
-    placebo=Placebo(replicates=40),
+    metrics=Metrics(bootstrap_block=5),
 )
 MIN_INSTRUMENTS = 5
 

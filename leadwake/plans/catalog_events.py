@@ -58,7 +58,7 @@ def random_pairs_sql(reps: str) -> str:
 
 
 define("x_rand1", random_pairs_sql("1"))
-define("x_rand50", random_pairs_sql("50"))
+define("x_rand", random_pairs_sql("500"))
 define("x_active", "SELECT win, session, leader, signal AS direction FROM x_lday WHERE NOT abstain")
 define("x_asig", """
 SELECT a.arm, s.* FROM x_active s CROSS JOIN (SELECT unnest(['ia_mais_rede', 'ia_sem_rede', 'seguidora_aleatoria']) AS arm) a
@@ -116,8 +116,8 @@ ON d.{key} = k.{key} AND d.h = k.h AND d.rate = k.rate AND d.pos = c.pos""")
 
 event_ctes("x_ev", "x_asig", "x_apair", "arm", "1, 3, 5")
 event_ctes("x_eb", "x_asig", "x_apair", "arm", "3", "0, 0.02, 0.05, 0.1, 0.2")
-define("x_rsig", "SELECT r.replicate, s.* FROM x_active s CROSS JOIN (SELECT unnest(range(1, 51)) AS replicate) r")
-event_ctes("x_er", "x_rsig", "x_rand50", "replicate", "3")
+define("x_rsig", "SELECT r.replicate, s.* FROM x_active s CROSS JOIN (SELECT unnest(range(1, 501)) AS replicate) r")
+event_ctes("x_er", "x_rsig", "x_rand", "replicate", "3")
 H = (1, 3, 5)
 
 # ---- filings --------------------------------------------------------------------------------
@@ -177,7 +177,7 @@ register("evt_11_network_signals", "win<window:s delivered:d session:d leader:s
 register("evt_12_self_pairs", "win<window:s leader:s follower:s", lambda c: events.self_pairs(study(c).active), "SELECT DISTINCT win, leader, leader AS follower FROM x_active")
 register("evt_13_structural_pairs", "win<window:s leader:s follower:s sector:s subsector:s",
          lambda c: c.study.network.filter("direction = 'lider_para_seguidora' and lag = 1 and min_band <= 15"), "SELECT win, leader, follower, sector, subsector FROM x_net WHERE min_band <= 15")
-register("evt_14_random_followers", "replicate:i win<window:s leader:s follower:s", lambda c: study(c).random_pairs(50), "SELECT * FROM x_rand50")
+register("evt_14_random_followers", "replicate:i win<window:s leader:s follower:s", lambda c: study(c).random_pairs(c.cfg.placebo.replicates), "SELECT * FROM x_rand")
 register("evt_15_signal_contract", "check:s rows:i violations:i", lambda c: events.signal_violations(study(c).network_signals),
          """SELECT 'lider_dia_duplicado' AS "check", count(*) AS rows, 0 AS violations FROM x_nsig UNION ALL SELECT 'sessao_em_duas_janelas', count(DISTINCT session), 0 FROM x_nsig
             UNION ALL SELECT 'direcao_invalida', count(*), 0 FROM x_nsig UNION ALL SELECT 'entrega_nao_anterior', count(*), 0 FROM x_nsig""")
@@ -206,10 +206,10 @@ register("evt_21_borrow_sensitivity", "arm:s rate:f net_total:f operations:i",
             LEFT JOIN (SELECT arm, rate, count(*) FILTER (WHERE step = 1) AS n FROM x_ebflow GROUP BY 1, 2) o ON o.arm = d.arm AND o.rate = d.rate""")
 REAL = "(SELECT coalesce(sum(net_pnl), 0) FROM x_evflow WHERE arm = 'ia_mais_rede' AND h = 3)"
 register("est_20_randomisation_p", "replicates:i extremes:i p:f",
-         lambda c: placebo.randomisation_p(study(c).randomised_totals(50), "net_total",
+         lambda c: placebo.randomisation_p(study(c).randomised_totals(c.cfg.placebo.replicates), "net_total",
                                            study(c).run((3,)).daily.filter("arm = 'ia_mais_rede'").agg(F.sum("net_pnl")).scalar()),
-         f"""SELECT 50 AS replicates, count(*) FILTER (WHERE t >= {REAL}) AS extremes, (count(*) FILTER (WHERE t >= {REAL}) + 1) / 51 AS p
-             FROM (SELECT r, coalesce(sum(net_pnl), 0) AS t FROM (SELECT unnest(range(1, 51)) AS r) LEFT JOIN x_erflow ON replicate = r GROUP BY 1)""")
+         f"""SELECT 500 AS replicates, count(*) FILTER (WHERE t >= {REAL}) AS extremes, (count(*) FILTER (WHERE t >= {REAL}) + 1) / 501 AS p
+             FROM (SELECT r, coalesce(sum(net_pnl), 0) AS t FROM (SELECT unnest(range(1, 501)) AS r) LEFT JOIN x_erflow ON replicate = r GROUP BY 1)""")
 register("est_21_arm_summary", f"arm:s h:i {SUM_COLS.replace(' mean_turnover:f', '')}",
          lambda c: inference.strategy_summary(study(c).run(H).daily, ["arm", "h"], "net_pnl"),
          SUMMARY_SQL.format(keys="arm, h", src="(SELECT *, net_pnl AS v, 0 AS turnover FROM x_evday)"))

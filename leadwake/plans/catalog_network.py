@@ -123,7 +123,7 @@ SELECT replicate, win, sector, subsector, leader, follower FROM expanded e WHERE
   SELECT 1 FROM valid v WHERE v.replicate = e.replicate AND v.win = e.win AND v.sector = e.sector AND v.subsector = e.subsector)"""
 EXPANDED = """
 expanded AS MATERIALIZED (SELECT p.*, r.replicate, a.attempt, count(*) OVER (PARTITION BY r.replicate, a.attempt, win, sector, subsector) AS e_size
-  FROM x_pairs p CROSS JOIN (SELECT unnest(range(1, 41)) AS replicate) r CROSS JOIN (SELECT unnest(range(0, 50)) AS attempt) a),
+  FROM x_pairs p CROSS JOIN (SELECT unnest(range(1, 501)) AS replicate) r CROSS JOIN (SELECT unnest(range(0, 50)) AS attempt) a),
 valid AS MATERIALIZED (SELECT DISTINCT replicate, win, sector, subsector FROM (
   SELECT a.replicate, a.win, a.sector, a.subsector, a.attempt FROM (SELECT *, row_number() OVER (PARTITION BY replicate, attempt, win, sector, subsector ORDER BY leader, follower, leader_issuer, follower_issuer) AS slot FROM expanded) a
   JOIN (SELECT *, row_number() OVER (PARTITION BY replicate, attempt, win, sector, subsector ORDER BY
@@ -132,7 +132,7 @@ valid AS MATERIALIZED (SELECT DISTINCT replicate, win, sector, subsector FROM (
   GROUP BY ALL HAVING bool_and(a.leader <> b.follower AND a.leader_issuer <> b.follower_issuer)))"""
 ORD_BETA = BETA_SQL.format(rows="(" + xy_rows("x_ord", "x_slice", "1") + ")")
 register("est_12_shuffled_pairs", "replicate:i win<window:s sector:s subsector:s leader:s follower:s",
-         lambda c: placebo.shuffled_pairs(c.study.pairs, 40, c.cfg.seed), f"WITH {EXPANDED} {SHUFFLED}")
+         lambda c: placebo.shuffled_pairs(c.study.pairs, c.cfg.placebo.replicates, c.cfg.seed), f"WITH {EXPANDED} {SHUFFLED}")
 register("est_13_placebo_distribution", "win<window:s replicate:i median_beta:f mean_beta:f estimated:i",
          lambda c: c.study.placebo()[0],
          f"""WITH {EXPANDED}, ob AS MATERIALIZED ({ORD_BETA})
@@ -213,7 +213,7 @@ register("est_17_block_bootstrap", "rule:s mode:s n:i mean:f ci_low:f ci_high:f
          """WITH s AS MATERIALIZED (SELECT rule, mode, net_pnl AS v, row_number() OVER (PARTITION BY rule, mode ORDER BY pos) AS k, count(*) OVER (PARTITION BY rule, mode) AS n FROM x_book),
             cs AS MATERIALIZED (SELECT rule, mode, k, n, sum(v) OVER (PARTITION BY rule, mode ORDER BY k) AS c FROM s UNION ALL SELECT rule, mode, 0, any_value(n), 0 FROM s GROUP BY 1, 2),
             b AS (SELECT g.rule, g.mode, g.n, rep, blk, ('0x' || substr(md5(concat_ws('|', '42', g.rule, g.mode, rep, blk)), 1, 8))::BIGINT % (n - 5 + 1) AS st, least(5, n - blk * 5) AS len
-                  FROM (SELECT DISTINCT rule, mode, n FROM s) g CROSS JOIN (SELECT unnest(range(1, 1001)) AS rep) CROSS JOIN (SELECT unnest(range(0, 200)) AS blk) WHERE blk < ceil(n / 5)),
+                  FROM (SELECT DISTINCT rule, mode, n FROM s) g CROSS JOIN (SELECT unnest(range(1, 10001)) AS rep) CROSS JOIN (SELECT unnest(range(0, 200)) AS blk) WHERE blk < ceil(n / 5)),
             m AS (SELECT b.rule, b.mode, rep, sum(hi.c - lo.c) / any_value(b.n) AS m FROM b JOIN cs hi ON hi.rule = b.rule AND hi.mode = b.mode AND hi.k = st + len
                   JOIN cs lo ON lo.rule = b.rule AND lo.mode = b.mode AND lo.k = st GROUP BY ALL)
             SELECT m.rule, m.mode, any_value(a.n) AS n, any_value(a.mean) AS mean, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, avg((m <= 0)::INT) AS lower_tail, count(*) AS replicates

@@ -230,3 +230,10 @@ def test_liquidity_has_every_session_in_reach(spark):
     panel = spark.createDataFrame([("a", 0, 5.0), ("a", 2, 0.0), ("a", 7, 7.0)], "instrument string, pos int, volume double")
     got = {r.pos: r.traded_share for r in returns.traded_share(returns.volumes_in_reach(panel, calendar, 3), 3).filter("traded_share is not null").collect()}
     assert got == {0: 1.0, 1: 1.0, 2: 0.5, 3: 0.0, 4: 0.0, 7: 1.0, 8: 1.0}
+
+
+def test_queries_run_the_configured_replicates():
+    from leadwake.config import DEFAULTS
+    from leadwake.plans.bindings import MONTHLY
+    assert MONTHLY.placebo.replicates == DEFAULTS.placebo.replicates == 500
+    assert MONTHLY.metrics.bootstrap_replicates == DEFAULTS.metrics.bootstrap_replicates == 10_000
