@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from leadwake.config import Costs, Strategy
+from leadwake.functions.exact import exact_sum
 from leadwake.functions.scalars import valid_price
 
 NO_FOLLOWERS = "lider_sem_seguidoras_estruturais"
@@ -17,8 +18,8 @@ PAST_END = "holding_ultrapassa_fim_do_calendario"
 NET_ZERO = "contribuicao_liquida_zero_na_coorte"
 NO_ENTRY = "preco_entrada_ausente_ou_suspensao"
 NO_CLOSE = "preco_fechamento_ausente_ou_suspensao"
-# Sums of a few +-1/n: a true non-zero net is far above this, rounding far below.
-NET_TOLERANCE = 1e-12
+# Fixed value.  Nets are summed exactly; what is left of parts that cancel, such as 1/3 + 1/3 + 1/3 - 1, is the rounding of 1/3.
+ZERO_NET = 1e-15
 
 
 class EventResult(NamedTuple):
@@ -55,15 +56,15 @@ def event_backtest(signals: DataFrame, pairs: DataFrame, prices: DataFrame, cale
     cohort = [*run, "window", "session", "start"]
     # Origins of a netted position: at most one per leader of the window, so the list is bounded.
     origin = F.array_sort(F.collect_list(F.struct("leader", "part")))
-    net = parts.groupBy(*cohort, "follower").agg(F.sum("part").alias("net"), F.count(F.lit(1)).alias("signals"), origin.alias("origins"))
-    zero = F.abs("net") <= NET_TOLERANCE
+    net = parts.groupBy(*cohort, "follower").agg(exact_sum("part").alias("net"), F.count(F.lit(1)).alias("signals"), origin.alias("origins"))
+    zero = F.abs("net") <= ZERO_NET
     diag_zero = net.filter(zero).select(*run, "window", "session", F.when(F.size("origins") == 1, F.col("origins")[0]["leader"]).alias("leader"),
                                         "follower", "signals", F.lit(NET_ZERO).alias("reason"))
     by = W.partitionBy(*run, "window", "session")
-    live = net.filter(~zero).withColumn("gross_before", F.sum(F.abs("net")).over(by))
+    live = net.filter(~zero).withColumn("gross_before", exact_sum(F.abs("net"), by))
     live = live.withColumn("normalised", F.col("net") / F.col("gross_before"))
     live = live.withColumn("capped", F.signum("normalised") * F.least(F.abs("normalised"), F.lit(strategy.max_weight)))
-    live = live.withColumns({"gross_after": F.sum(F.abs("capped")).over(by), "weight": F.col("capped") / F.col("h")})
+    live = live.withColumns({"gross_after": exact_sum(F.abs("capped"), by), "weight": F.col("capped") / F.col("h")})
 
     p = prices.select(F.col("instrument").alias("follower"), "pos", "open", "close")
     steps = (live.withColumn("step", F.explode(F.sequence(F.lit(1), F.col("h")))).withColumn("pos", F.col("start") + F.col("step") - 1)
@@ -98,14 +99,14 @@ def event_backtest(signals: DataFrame, pairs: DataFrame, prices: DataFrame, cale
     flows = flows.withColumn("turnover_cost", F.col("entry_cost") + F.col("exit_cost"))
     flows = flows.withColumn("net_pnl", F.col("gross_pnl") - F.col("turnover_cost") - F.col("borrow_cost"))
     money = ("open_close_pnl", "close_close_pnl", "gross_pnl", "entry_cost", "exit_cost", "turnover_cost", "borrow_cost", "net_pnl")
-    sums = flows.groupBy(*run, "rate", "window", "session", "follower").agg(*[F.sum(c).alias(c) for c in money])
+    sums = flows.groupBy(*run, "rate", "window", "session", "follower").agg(*[exact_sum(c).alias(c) for c in money])
     operations = (held.join(sums, [*run, "window", "session", "follower"])
                   .withColumn("direction", F.when(F.col("weight") > 0, 1).otherwise(-1)).drop("start"))
     # Positions net per follower before exposures are taken.
     per_name = flows.groupBy(*run, "rate", "pos", "follower").agg(
-        F.sum("weight").alias("w"), F.count(F.lit(1)).alias("ops"), *[F.sum(c).alias(c) for c in money])
+        exact_sum("weight").alias("w"), F.count(F.lit(1)).alias("ops"), *[exact_sum(c).alias(c) for c in money])
     day = per_name.groupBy(*run, "rate", "pos").agg(
-        *[F.sum(c).alias(c) for c in money], F.sum("ops").alias("operations"), F.sum(F.abs("w")).alias("gross_exposure"), F.sum("w").alias("net_exposure"))
+        *[exact_sum(c).alias(c) for c in money], F.sum("ops").alias("operations"), exact_sum(F.abs("w")).alias("gross_exposure"), exact_sum("w").alias("net_exposure"))
     runs = sig.select(*run).distinct().withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
     grid = runs.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), n_cal - 1))).join(calendar.select(F.col("pos").cast("long").alias("pos"), "date"), "pos")
     daily = grid.join(day, [*run, "rate", "pos"], "left").fillna(0, [*money, "operations", "gross_exposure", "net_exposure"])
@@ -116,8 +117,7 @@ def event_summary(signals: DataFrame, result: EventResult, keys: Sequence[str] =
     """Counts and totals per run and borrow rate."""
     run = [*keys, "h"]
     d = result.daily.groupBy(*run, "rate").agg(
-        F.sum("gross_pnl").alias("gross_total"), F.sum("net_pnl").alias("net_total"), F.sum("turnover_cost").alias("turnover_cost_total"),
-        F.sum("borrow_cost").alias("borrow_cost_total"), F.max("gross_exposure").alias("max_gross_exposure"),
+        *[exact_sum(c).alias(n) for c, n in (("gross_pnl", "gross_total"), ("net_pnl", "net_total"), ("turnover_cost", "turnover_cost_total"), ("borrow_cost", "borrow_cost_total"))], F.max("gross_exposure").alias("max_gross_exposure"),
         F.count_if(F.col("operations") > 0).alias("active_days"))
     o = result.operations.groupBy(*run, "rate").agg(F.count(F.lit(1)).alias("operations"), F.count_distinct("session").alias("cohorts_traded"))
     g = result.diagnostics.groupBy(*run).agg(F.count(F.lit(1)).alias("diagnostics"), F.count_if(F.col("reason") == NET_ZERO).alias("net_zero"))

@@ -76,14 +76,14 @@ SELECT s.*, h.h, c.pos AS start, n.k AS followers, CASE WHEN c.pos IS NULL THEN
 FROM {sig} s CROSS JOIN (SELECT unnest([{horizons}]) AS h) h LEFT JOIN x_mcal c ON c.date = s.session
 LEFT JOIN (SELECT {key}, win, leader, count(DISTINCT follower) AS k FROM {pair} GROUP BY ALL) n ON n.{key} = s.{key} AND n.win = s.win AND n.leader = s.leader""")
     define(f"{p}net0", f"""
-SELECT s.{key}, s.h, s.win, s.session, s.start, e.follower, sum(s.direction / s.followers) AS net, count(*) AS signals, min(s.leader) AS one_leader,
+SELECT s.{key}, s.h, s.win, s.session, s.start, e.follower, sum((s.direction / s.followers * pow(2, 100))::HUGEINT)::DOUBLE / pow(2, 100) AS net, count(*) AS signals, min(s.leader) AS one_leader,
        string_agg(s.leader || ':' || round(s.direction / s.followers, 6), ',' ORDER BY s.leader) AS origins
 FROM {p}s s JOIN (SELECT DISTINCT {key}, win, leader, follower FROM {pair}) e ON e.{key} = s.{key} AND e.win = s.win AND e.leader = s.leader WHERE s.reason IS NULL GROUP BY ALL""")
     define(f"{p}net", f"""
-SELECT *, capped / h AS weight, sum(abs(capped)) OVER (PARTITION BY {key}, h, win, session) AS gross_after FROM (
+SELECT *, capped / h AS weight, sum((abs(capped) * pow(2, 100))::HUGEINT) OVER (PARTITION BY {key}, h, win, session)::DOUBLE / pow(2, 100) AS gross_after FROM (
   SELECT *, sign(normalised) * least(abs(normalised), 0.1) AS capped FROM (
-    SELECT *, net / sum(abs(net)) OVER (PARTITION BY {key}, h, win, session) AS normalised, sum(abs(net)) OVER (PARTITION BY {key}, h, win, session) AS gross_before
-    FROM {p}net0 WHERE abs(net) > 1e-12))""")
+    SELECT *, net / gross_before AS normalised FROM (
+      SELECT *, sum((abs(net) * pow(2, 100))::HUGEINT) OVER (PARTITION BY {key}, h, win, session)::DOUBLE / pow(2, 100) AS gross_before FROM {p}net0 WHERE abs(net) > 1e-15)))""")
     define(f"{p}stp", f"""
 SELECT n.*, st.step, c.pos, c.date, q.open, q.close, lag(q.close) OVER (PARTITION BY n.{key}, n.h, n.win, n.session, n.follower ORDER BY st.step) AS prev
 FROM {p}net n JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS step) st ON st.step <= n.h JOIN x_mcal c ON c.pos = n.start + st.step - 1
@@ -101,7 +101,7 @@ SELECT *, gross_pnl - entry_cost - exit_cost - borrow_cost AS net_pnl, entry_cos
   CROSS JOIN (SELECT unnest([{rates}])::DOUBLE AS rate) r WHERE g.entry IS NOT NULL AND g.bad = 0)""")
     define(f"{p}diag", f"""
 SELECT {key}, h, win, session, leader, NULL AS follower, 1 AS signals, reason FROM {p}s WHERE reason IS NOT NULL
-UNION ALL SELECT {key}, h, win, session, CASE WHEN signals = 1 THEN one_leader END, follower, signals, 'contribuicao_liquida_zero_na_coorte' FROM {p}net0 WHERE abs(net) <= 1e-12
+UNION ALL SELECT {key}, h, win, session, CASE WHEN signals = 1 THEN one_leader END, follower, signals, 'contribuicao_liquida_zero_na_coorte' FROM {p}net0 WHERE abs(net) <= 1e-15
 UNION ALL SELECT n.{key}, n.h, n.win, n.session, CASE WHEN signals = 1 THEN one_leader END, n.follower, signals,
    CASE WHEN g.entry IS NULL THEN 'preco_entrada_ausente_ou_suspensao' ELSE 'preco_fechamento_ausente_ou_suspensao' END
  FROM {p}net n JOIN {p}gate g ON g.{key} = n.{key} AND g.h = n.h AND g.win = n.win AND g.session = n.session AND g.follower = n.follower WHERE g.entry IS NULL OR g.bad > 0""")
@@ -204,12 +204,12 @@ register("evt_21_borrow_sensitivity", "arm:s rate:f net_total:f operations:i",
          lambda c: event_book.event_summary(study(c).arms[0], study(c).run((3,), c.cfg.costs.borrow_scenarios)),
          """SELECT d.arm, d.rate, net_total, coalesce(n, 0) AS operations FROM (SELECT arm, rate, sum(net_pnl) AS net_total FROM x_ebday GROUP BY 1, 2) d
             LEFT JOIN (SELECT arm, rate, count(*) FILTER (WHERE step = 1) AS n FROM x_ebflow GROUP BY 1, 2) o ON o.arm = d.arm AND o.rate = d.rate""")
-REAL = "(SELECT coalesce(sum(net_pnl), 0) FROM x_evflow WHERE arm = 'ia_mais_rede' AND h = 3)"
+# Totals as whole multiples of 2^-100: equal positions give equal totals in any order.
+REAL = "(SELECT coalesce(sum((net_pnl * pow(2, 100))::HUGEINT), 0) FROM x_evflow WHERE arm = 'ia_mais_rede' AND h = 3)"
 register("est_20_randomisation_p", "replicates:i extremes:i p:f",
-         lambda c: placebo.randomisation_p(study(c).randomised_totals(c.cfg.placebo.replicates), "net_total",
-                                           study(c).run((3,)).daily.filter("arm = 'ia_mais_rede'").agg(F.sum("net_pnl")).scalar()),
+         lambda c: placebo.randomisation_p(study(c).randomised_totals(c.cfg.placebo.replicates), "net_total", study(c).real_total()),
          f"""SELECT 500 AS replicates, count(*) FILTER (WHERE t >= {REAL}) AS extremes, (count(*) FILTER (WHERE t >= {REAL}) + 1) / 501 AS p
-             FROM (SELECT r, coalesce(sum(net_pnl), 0) AS t FROM (SELECT unnest(range(1, 501)) AS r) LEFT JOIN x_erflow ON replicate = r GROUP BY 1)""")
+             FROM (SELECT r, coalesce(sum((net_pnl * pow(2, 100))::HUGEINT), 0) AS t FROM (SELECT unnest(range(1, 501)) AS r) LEFT JOIN x_erflow ON replicate = r GROUP BY 1)""")
 register("est_21_arm_summary", f"arm:s h:i {SUM_COLS.replace(' mean_turnover:f', '')}",
          lambda c: inference.strategy_summary(study(c).run(H).daily, ["arm", "h"], "net_pnl"),
          SUMMARY_SQL.format(keys="arm, h", src="(SELECT *, net_pnl AS v, 0 AS turnover FROM x_evday)"))

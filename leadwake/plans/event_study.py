@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
+from leadwake.functions.exact import exact_sum
 from leadwake.operators import event_book, events, placebo
 from leadwake.session import materialize
 
@@ -70,11 +71,16 @@ class EventStudy:
         return event_book.event_backtest(sig, par, self.prices, self.study.calendar, horizons, ("arm",),
                                          self.study.cfg.strategy, self.study.cfg.costs, rates)
 
+    def real_total(self, arm: str = ARMS[0], horizon: int = 3):
+        """Net total of one arm as a scalar, summed exactly from its flows."""
+        return F.coalesce(self.run((horizon,)).flows.filter(F.col("arm") == arm).agg(exact_sum("net_pnl")).scalar(), F.lit(0.0))
+
     def randomised_totals(self, replicates: int, horizon: int = 3) -> DataFrame:
-        """Net total per randomised network; replicates are a key of one plan."""
+        """Net total per randomised network; replicates are a key of one plan.  Totals are exact sums of the flows, so that
+        networks with equal positions tie with each other and with the real one, however rows are dealt."""
         rep = self.random_pairs(replicates)
         sig = self.active.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
         r = event_book.event_backtest(sig, rep, self.prices, self.study.calendar, (horizon,), ("replicate",),
                                       self.study.cfg.strategy, self.study.cfg.costs)
-        return (r.operations.groupBy("replicate").agg(F.sum("net_pnl").alias("net_total"), F.count(F.lit(1)).alias("operations"))
+        return (r.flows.groupBy("replicate").agg(exact_sum("net_pnl").alias("net_total"), F.count_if(F.col("step") == 1).alias("operations"))
                 .join(sig.select("replicate").distinct(), "replicate", "right").fillna(0))
