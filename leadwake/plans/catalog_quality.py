@@ -253,12 +253,21 @@ def _doubled(c):
     return r.unionByName(r.withColumn("instrument", F.concat(F.lit("Z"), "instrument")))
 
 
-register("dq_19_near_duplicates", "instrument_a:s instrument_b:s overlap:i correlation:f",
-         lambda c: crosscheck.near_duplicates(c.study.estimation, c.study.selection.filter("final_position <= 25"), 0.2, 20),
-         """SELECT a.instrument AS instrument_a, b.instrument AS instrument_b, count(*) AS overlap, corr(a.ret, b.ret) AS correlation
-            FROM x_mest a JOIN x_mest b ON a.date = b.date AND a.instrument < b.instrument WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL
-              AND a.instrument IN (SELECT leader FROM x_pairs UNION SELECT follower FROM x_pairs) AND b.instrument IN (SELECT leader FROM x_pairs UNION SELECT follower FROM x_pairs)
-            GROUP BY 1, 2 HAVING count(*) >= 20 AND corr(a.ret, b.ret) >= 0.2""")
+def _near_copies(c):
+    """Every series and a copy with some noise and missing days, so that copies fall on both sides of the limit."""
+    r = returns.estimation_returns(c.panel("month")).select("instrument", "pos", "ret")
+    number = F.substring("instrument", 2, 10).cast("long")
+    noise = number % 10 * 0.02 * (F.col("pos") * 7 % 11 - 5)
+    copy = r.filter((F.col("pos") + number) % 13 != 0).select(F.concat(F.lit("Y"), "instrument").alias("instrument"), "pos", (F.col("ret") * 2 + noise + 0.01).alias("ret"))
+    return r.unionByName(copy)
+
+
+register("dq_19_near_duplicates", "instrument_a:s instrument_b:s overlap:i correlation:f", lambda c: crosscheck.near_duplicates(_near_copies(c)),
+         """WITH r AS (SELECT instrument, pos, ret FROM x_mest WHERE ret IS NOT NULL UNION ALL
+              SELECT 'Y' || instrument, pos, ret * 2 + CAST(substr(instrument, 2) AS BIGINT) % 10 * 0.02 * (pos * 7 % 11 - 5) + 0.01 FROM x_mest
+              WHERE ret IS NOT NULL AND (pos + CAST(substr(instrument, 2) AS BIGINT)) % 13 <> 0)
+            SELECT a.instrument AS instrument_a, b.instrument AS instrument_b, count(*) AS overlap, corr(a.ret, b.ret) AS correlation
+            FROM r a JOIN r b ON a.pos = b.pos AND a.instrument < b.instrument GROUP BY 1, 2 HAVING count(*) >= 60 AND corr(a.ret, b.ret) >= 0.999""")
 FACT = "CASE " + " ".join(f"WHEN abs(ratio / {f} - 1) <= 0.02 THEN '1:{f}' WHEN abs(ratio * {f} - 1) <= 0.02 THEN '{f}:1'" for f in crosscheck.SPLIT_FACTORS) + " ELSE '' END"
 
 

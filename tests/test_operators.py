@@ -237,3 +237,39 @@ def test_queries_run_the_configured_replicates():
     from leadwake.plans.bindings import MONTHLY
     assert MONTHLY.placebo.replicates == DEFAULTS.placebo.replicates == 500
     assert MONTHLY.metrics.bootstrap_replicates == DEFAULTS.metrics.bootstrap_replicates == 10_000
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Near copies among all series, with missing days, late starts, constant and short series, in blocks of every size."""
+    import numpy as np
+    from leadwake.operators import crosscheck
+
+    rng = np.random.default_rng(4)
+    rows, series = [], {}
+    for k in range(40):
+        start = int(rng.integers(0, 150))
+        base = rng.standard_normal(200)
+        base[:start] = np.nan
+        series[f"A{k:02d}"] = base
+        copy = base * rng.uniform(.2, 3) + rng.standard_normal(200) * rng.choice([0, .01, .03, .06])
+        copy[rng.random(200) < rng.choice([0, .3])] = np.nan
+        series[f"B{k:02d}"] = copy
+    series["flat"] = np.zeros(200)
+    series["mirror"] = -series["A00"]
+    for name, v in series.items():
+        rows += [(name, int(p), None if np.isnan(x) else float(x)) for p, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "instrument string, pos int, ret double")
+    want = {}
+    names = sorted(series)
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            both = ~np.isnan(series[a]) & ~np.isnan(series[b])
+            if both.sum() >= 60 and series[a][both].std() > 0 and series[b][both].std() > 0:
+                c = np.corrcoef(series[a][both], series[b][both])[0, 1]
+                if c >= .999:
+                    want[a, b] = (int(both.sum()), round(c, 9))
+    assert 5 < len(want) < 35
+    for block in (3, 17, 256):
+        got = {(r.instrument_a, r.instrument_b): (r.overlap, round(r.correlation, 9)) for r in crosscheck.near_duplicates(df, block=block).collect()}
+        assert got == want
+    assert crosscheck.near_duplicates(df.limit(0)).count() == 0
