@@ -32,6 +32,14 @@ def resolve(sql: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in order) + "\n" + sql
 
 
+def of_length(names: str, lengths) -> None:
+    """Copies of the named blocks, which build on each other, with training windows of other lengths."""
+    for m in lengths:
+        for name in names.split():
+            body = re.sub(rf"\b({'|'.join(names.split())})\b", rf"\1_{m}", CTES[name])
+            define(f"{name}_{m}", body.replace("to_months(24 +", f"to_months({m} +"))
+
+
 ISSUER = """CASE WHEN regexp_full_match(upper(trim(isin)), '[A-Z]{2}[A-Z0-9]{4}[A-Z0-9]{3}[A-Z0-9]{3}')
      THEN substr(upper(trim(isin)), 3, 4) END"""
 

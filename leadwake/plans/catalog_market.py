@@ -9,11 +9,24 @@ from leadwake.operators import returns, sectors, sessions, universe
 from leadwake.plans import bindings as b
 from leadwake.plans.registry import register
 
+
+def _windows_of_lengths(c):
+    out = None
+    for m in (12, 24, 36):
+        some = sessions.walk_forward_windows(c.spark, c.cfg.period.start, c.cfg.period.end, c.cfg.walk_forward, m).withColumn("months", F.lit(m))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 # ---- calendar and listing -------------------------------------------------------------------
 register("dq_01_session_calendar", "date:d pos:i instruments:i", lambda c: c.calendar(),
          "SELECT date, pos, instruments FROM x_dcal")
 register("dq_02_listing_span", "instrument:s first_date:d last_date:d", lambda c: sessions.listing_span(c.daily),
          "SELECT instrument, min(date) AS first_date, max(date) AS last_date FROM x_dq GROUP BY 1")
+register("uni_01_training_lengths", "months:i window_id:i win<window:s train_start:d train_end:d test_start:d test_end:d", lambda c: _windows_of_lengths(c),
+         " UNION ALL ".join(f"""SELECT {m} AS months, i AS window_id, strftime(te, '%Y-%m') AS win, ts::DATE AS train_start, te::DATE AS train_end, te::DATE AS test_start, (te + INTERVAL 3 MONTH)::DATE AS test_end
+            FROM (SELECT i, DATE '1995-01-01' + to_months(3 * i::INT) AS ts, DATE '1995-01-01' + to_months({m} + 3 * i::INT) AS te FROM range(0, 60) r(i)) WHERE te + INTERVAL 3 MONTH <= DATE '2001-12-01'"""
+                            for m in (12, 24, 36)))
 register("uni_01_windows", "window_id:i win<window:s train_start:d train_end:d test_start:d test_end:d rows:i",
          lambda c: (sessions.in_windows(c.monthly.select("date", "instrument"), c.windows)
                     .groupBy("window_id", "window", "train_start", "train_end", "test_start", "test_end")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from leadwake.operators import (checks, discovery, inference, pairs as pair_ops, placebo, positions, regression, reports,
                                 returns, universe)
 from leadwake.oracle import market_ctes  # noqa: F401
-from leadwake.oracle.ctes import bh, network, ols, xy_rows
+from leadwake.oracle.ctes import bh, network, of_length, ols, xy_rows
 from leadwake.plans.registry import register
 
 NET = ("win<window:s sector:s subsector:s leader:s follower:s min_band:i leader_position:i follower_position:i direction:s "
@@ -45,6 +45,12 @@ register("est_02_classical_errors", "win<window:s leader:s follower:s n:i std_er
                      CASE WHEN count(*) >= 12 THEN sqrt(greatest(var_pop(y) - covar_pop(y, x)^2 / nullif(var_pop(x), 0), 0) / (count(*) - 2) / nullif(var_pop(x), 0)) END AS se
               FROM x_xy GROUP BY win, leader, follower)))""")
 register("est_03_network", NET, lambda c: c.study.network, "SELECT * FROM x_net")
+LENGTHS = (12, 24, 36)
+of_length("x_win x_prof x_rank x_sel x_selsec x_pairs x_slice x_xy x_ols", (12, 36))
+register("est_03_network_of_months", "months:i win<window:s leader:s follower:s n:i beta:f alpha:f r2:f std_error:g t_stat:g p_value:g alpha_t:g",
+         lambda c: c.study.network_of_months(LENGTHS),
+         " UNION ALL ".join(f"""SELECT {m} AS months, p.win, p.leader, p.follower, coalesce(e.n, 0) AS n, e.beta, e.alpha, e.r2, e.std_error, e.t_stat, e.p_value, e.alpha_t
+             FROM x_pairs{t} p LEFT JOIN x_ols{t} e ON e.win = p.win AND e.leader = p.leader AND e.follower = p.follower""" for m, t in ((12, "_12"), (24, ""), (36, "_36"))))
 register("est_04_all_lags", NET,
          lambda c: regression.network_from_slices(c.study.slices, c.study.pairs, c.cfg.lead_lag, (1, 0, 2, 3)),
          network(f"({ols('(' + xy_rows('x_pairs', 'x_slice', '1, 0, 2, 3') + ')', 'win, leader, follower, lag', 2, 12)})", lags="1, 0, 2, 3"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadwake.config import Settings
-from leadwake.operators import discovery, pairs as pair_ops, placebo, positions, regression, returns, sessions, universe
+from leadwake.operators import discovery, pairs as pair_ops, placebo, positions, regression, returns, rolling_network, sessions, universe
 from leadwake.session import materialize
 
 
@@ -92,6 +93,25 @@ class Study:
     def selected(self) -> DataFrame:
         return discovery.select_pairs(self.controlled, cfg=self.cfg.discovery)
 
+    def network_of_months(self, lengths: Sequence[int]) -> DataFrame:
+        """Networks of several training lengths: universes and pairs of all their windows in one plan, moments in one pass.
+
+        ``months`` names the length; window labels carry it too, as test periods of several lengths share their names.
+        """
+        p = self.cfg.period
+        windows = None
+        for m in lengths:
+            some = sessions.walk_forward_windows(self.spark, p.start, p.end, self.cfg.walk_forward, m).withColumn("window", F.concat(F.lit(f"{m}|"), "window"))
+            windows = some if windows is None else windows.unionByName(some)
+        chosen = pair_ops.with_sector_in_force(universe.select_universe(self.quotes, windows, self.cfg.liquidity), self.sector_table)
+        pairs = materialize(pair_ops.pairs_within(pair_ops.candidate_pairs(chosen, self.cfg.liquidity.bands), self.cfg.liquidity))
+        named = pairs.select(F.explode(F.array("leader", "follower")).alias("instrument")).distinct()
+        r = returns.estimation_returns(returns.panel(self.quotes.join(named, "instrument", "left_semi"), self.calendar))
+        c = self.cfg.lead_lag
+        found = rolling_network.network_of_lengths(r, pairs, windows, c.lag, c.hac_lags, c.min_observations)
+        label = F.split("window", r"\|")
+        return found.withColumns({"months": label[0].cast("int"), "window": label[1]})
+
     # ---- placebo ---------------------------------------------------------------------------
 
     @cached_property

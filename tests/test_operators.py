@@ -273,3 +273,34 @@ def test_near_duplicates_against_all_pairs(spark):
         got = {(r.instrument_a, r.instrument_b): (r.overlap, round(r.correlation, 9)) for r in crosscheck.near_duplicates(df, block=block).collect()}
         assert got == want
     assert crosscheck.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_networks_of_lengths_against_direct_regression(spark):
+    """Gaps, months without rows, daily rows and several overlapping lengths, against the window-by-window regression."""
+    import datetime as dt
+    import random
+    from pyspark.sql import functions as F
+    from leadwake.config import LeadLag, WalkForward
+    from leadwake.operators import regression, rolling_network, sessions
+
+    rng = random.Random(8)
+    days = [dt.date(2000, 1, 3) + dt.timedelta(days=3 * k) for k in range(480)]
+    rows = [(i, d, p, None if rng.random() < .1 else rng.gauss(.001, .02)) for i in ("A", "B", "C") for p, d in enumerate(days)
+            if not (i == "C" and d.year == 2001 and d.month in (5, 6, 7)) and rng.random() > .05]
+    r = spark.createDataFrame(rows, "instrument string, date date, pos int, ret double")
+    windows = None
+    for m in (3, 12, 24):
+        w = sessions.walk_forward_windows(spark, dt.date(2000, 1, 1), dt.date(2003, 12, 31), WalkForward(m, 3), m).withColumn("window", F.concat(F.lit(f"{m}|"), "window"))
+        windows = w if windows is None else windows.unionByName(w)
+    pairs = windows.select("window", F.explode(F.expr("array(struct('A' AS leader, 'B' AS follower), struct('B' AS leader, 'C' AS follower), struct('C' AS leader, 'X' AS follower))")).alias("p")).select("window", "p.*")
+    full = pairs.withColumns({c: F.lit(None).cast("string") for c in ("sector", "subsector")} | {c: F.lit(1) for c in ("min_band", "leader_position", "follower_position")})
+    cfg = LeadLag(lag=2, hac_lags=5, min_observations=20)
+    want = {(x.window, x.leader, x.follower): x for x in regression.estimate_network(r, full, windows, cfg).collect()}
+    got = {(x.window, x.leader, x.follower): x for x in rolling_network.network_of_lengths(r, pairs, windows, 2, 5, 20).collect()}
+    assert set(want) == set(got) and sum(x.beta is not None for x in want.values()) > 30
+    for k, x in want.items():
+        assert got[k].n == x.n
+        for c in ("beta", "alpha", "r2", "std_error", "t_stat", "p_value"):
+            assert got[k][c] == pytest.approx(x[c], rel=1e-7, abs=1e-10) if x[c] is not None else got[k][c] is None, (k, c)
+    with pytest.raises(Exception, match="begin and end with a month"):
+        rolling_network.network_of_lengths(r, pairs, windows.withColumn("train_start", F.date_add("train_start", 1)), 2, 5, 20).collect()
