@@ -114,28 +114,29 @@ register("est_11_selected_pairs", "rule:s win<window:s leader:s follower:s beta:
          lambda c: c.study.selected, "SELECT * FROM x_chosen")
 
 # ---- placebo --------------------------------------------------------------------------------
-SHUFFLED = """
-SELECT replicate, win, sector, subsector, leader, follower FROM (
-  SELECT *, min(CASE WHEN ok THEN attempt END) OVER (PARTITION BY replicate, win, sector, subsector) AS first_ok, e_size FROM (
-    SELECT a.replicate, a.win, a.sector, a.subsector, a.attempt, a.leader, b.follower, a.follower AS original, a.e_size,
-           bool_and(a.leader <> b.follower AND a.leader_issuer <> b.follower_issuer) OVER (PARTITION BY a.replicate, a.win, a.sector, a.subsector, a.attempt) AS ok
-    FROM (SELECT *, row_number() OVER (PARTITION BY replicate, attempt, win, sector, subsector ORDER BY leader, follower, leader_issuer, follower_issuer) AS slot FROM expanded) a
-    JOIN (SELECT *, row_number() OVER (PARTITION BY replicate, attempt, win, sector, subsector ORDER BY
-            md5(concat_ws('|', '42', replicate, attempt, win, leader, follower))) AS slot FROM expanded) b
-    USING (replicate, attempt, win, sector, subsector, slot)))
-WHERE e_size > 1 AND attempt = first_ok
-UNION ALL
-SELECT replicate, win, sector, subsector, leader, follower FROM expanded e WHERE attempt = 0 AND NOT EXISTS (
-  SELECT 1 FROM valid v WHERE v.replicate = e.replicate AND v.win = e.win AND v.sector = e.sector AND v.subsector = e.subsector)"""
-EXPANDED = """
-expanded AS MATERIALIZED (SELECT p.*, r.replicate, a.attempt, count(*) OVER (PARTITION BY r.replicate, a.attempt, win, sector, subsector) AS e_size
-  FROM x_pairs p CROSS JOIN (SELECT unnest(range(1, 501)) AS replicate) r CROSS JOIN (SELECT unnest(range(0, 50)) AS attempt) a),
-valid AS MATERIALIZED (SELECT DISTINCT replicate, win, sector, subsector FROM (
-  SELECT a.replicate, a.win, a.sector, a.subsector, a.attempt FROM (SELECT *, row_number() OVER (PARTITION BY replicate, attempt, win, sector, subsector ORDER BY leader, follower, leader_issuer, follower_issuer) AS slot FROM expanded) a
-  JOIN (SELECT *, row_number() OVER (PARTITION BY replicate, attempt, win, sector, subsector ORDER BY
-          md5(concat_ws('|', '42', replicate, attempt, win, leader, follower))) AS slot FROM expanded) b
-  USING (replicate, attempt, win, sector, subsector, slot) WHERE a.e_size > 1
-  GROUP BY ALL HAVING bool_and(a.leader <> b.follower AND a.leader_issuer <> b.follower_issuer)))"""
+GROUP = "replicate, win, sector, subsector"
+
+
+def _drawn() -> str:
+    """Attempts in spans; each span is drawn only for the groups that are still open."""
+    spans, out, done = ((0, 1), (1, 3), (3, 7), (7, 15), (15, 31), (31, 50)), [], []
+    out.append(f"""base AS MATERIALIZED (SELECT p.*, r.replicate, count(*) OVER (PARTITION BY {GROUP}) AS e_size FROM x_pairs p CROSS JOIN (SELECT unnest(range(1, 501)) AS replicate) r),
+open0 AS MATERIALIZED (SELECT * FROM base WHERE e_size > 1)""")
+    for k, (lo, hi) in enumerate(spans):
+        out.append(f"""put{k} AS MATERIALIZED (SELECT o.*, a.attempt, row_number() OVER (PARTITION BY {GROUP}, attempt ORDER BY leader, follower, leader_issuer, follower_issuer) AS slot,
+   row_number() OVER (PARTITION BY {GROUP}, attempt ORDER BY md5(concat_ws('|', '42', replicate, attempt, win, leader, follower))) AS place
+   FROM open{k} o CROSS JOIN (SELECT unnest(range({lo}, {hi})) AS attempt) a),
+met{k} AS MATERIALIZED (SELECT *, min(CASE WHEN ok THEN attempt END) OVER (PARTITION BY {GROUP}) AS first_ok FROM (
+   SELECT a.replicate, a.win, a.sector, a.subsector, a.attempt, a.leader, b.follower,
+     bool_and(a.leader <> b.follower AND a.leader_issuer <> b.follower_issuer) OVER (PARTITION BY a.replicate, a.win, a.sector, a.subsector, a.attempt) AS ok
+   FROM put{k} a JOIN put{k} b ON a.replicate = b.replicate AND a.win = b.win AND a.sector = b.sector AND a.subsector = b.subsector AND a.attempt = b.attempt AND a.slot = b.place)),
+open{k + 1} AS MATERIALIZED (SELECT * FROM open{k} o WHERE NOT EXISTS (SELECT 1 FROM met{k} m WHERE m.ok AND m.replicate = o.replicate AND m.win = o.win AND m.sector = o.sector AND m.subsector = o.subsector))""")
+        done.append(f"SELECT {GROUP}, leader, follower FROM met{k} WHERE attempt = first_ok")
+    rest = f"SELECT {GROUP}, leader, follower FROM base WHERE e_size < 2 UNION ALL SELECT {GROUP}, leader, follower FROM open{len(spans)}"
+    return ",\n".join(out) + f",\nshuffled AS MATERIALIZED ({' UNION ALL '.join([*done, rest])})"
+
+
+EXPANDED, SHUFFLED = _drawn(), "SELECT * FROM shuffled"
 ORD_BETA = BETA_SQL.format(rows="(" + xy_rows("x_ord", "x_slice", "1") + ")")
 register("est_12_shuffled_pairs", "replicate:i win<window:s sector:s subsector:s leader:s follower:s",
          lambda c: placebo.shuffled_pairs(c.study.pairs, c.cfg.placebo.replicates, c.cfg.seed), f"WITH {EXPANDED} {SHUFFLED}")

@@ -150,8 +150,10 @@ def _terminal(c):
 register("lin_01_lineages", "node:s label:s",
          lambda c: succession.lineages(succession.change_candidates(succession.series_ends(b.coded_quotes(c.spark, c.sf)))),
          """WITH RECURSIVE e AS MATERIALIZED (SELECT old AS a, new AS b FROM x_cand UNION SELECT new, old FROM x_cand),
-            r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other)
-            SELECT node, min(other) AS label FROM r GROUP BY 1""")
+            fall(node, label) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM e GROUP BY a
+              UNION ALL SELECT n.node, n.label FROM (SELECT e.b AS node, min(f.label) AS label FROM fall f JOIN e ON e.a = f.node GROUP BY 1) n
+                JOIN recurring.fall r ON r.node = n.node WHERE n.label < r.label)
+            SELECT node, label FROM fall""")
 
 
 def _upsert(c):
