@@ -27,6 +27,8 @@ SLOTS = 1 << 22
 #: Every so many shingles of a document add one to what a prefix must share.
 STEP = 20
 MEMO_SIZE = 150_000
+#: Bits by which two prefixes are compared before their shared tokens are counted.
+BITS = 512
 
 
 class _Hashes(dict):
@@ -240,18 +242,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     reach = _shared_counts(sets.join(placed.join(marked.select("gid").distinct(), "gid").select("id").distinct(), "id"), often)
     reach = placed.join(reach, "id").groupBy("gid").agg(F.max("reach").alias("reach"))
     marked = marked.join(reach, "gid").filter(F.col("reach") * 100 >= F.col("n") * PERCENT)
-    # Each row knows its group's tokens, at most a prefix, so that a pair is met at its first shared token only.
-    own = marked.groupBy("gid").agg(F.collect_list("token").alias("own"))
-    marked = materialize(marked.join(own, "gid"))
-    _release(spark)
+    marked = materialize(marked.join(marked.groupBy("gid").agg(F.count("*").alias("m"), *_bits(F.col("token"))), "gid"))
     x, y = marked.alias("x"), marked.alias("y")
-    both = F.array_intersect("x.own", "y.own")
     enough = F.least("x.reach", "y.reach") * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
     apart = (F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))
-    open_groups = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & _sizes_fit(F.col("x.n"), F.col("y.n")) & enough & apart
-                         & (F.size(both) + F.greatest(_rest(F.col("x.n")), _rest(F.col("y.n"))) >= F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT)))
-                         & (F.array_min(both) == F.col("x.token"))).select(
-        F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
+    behind = F.greatest(_rest(F.col("x.n")), _rest(F.col("y.n")))
+    due = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT))
+    # Narrow rows meet at every token they share; what they share at most is bounded before, and counted after, the pair is made.
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & _sizes_fit(F.col("x.n"), F.col("y.n")) & enough & apart & (_most_shared() + behind >= due))
+    open_groups = (met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"), (due - behind).alias("least")).groupBy("ga", "gb", "least").agg(F.count("*").alias("c"))
+                   .filter("c >= least").select("ga", "gb"))
     open_groups = open_groups.union(spread.filter("low < high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
     a, b = (placed.select(F.col("id").alias(i), F.col("gid").alias(g), F.col("root").alias(r)) for i, g, r in (("a", "ga", "ra"), ("b", "gb", "rb")))
     pairs = open_groups.join(a, "ga").join(b, "gb").filter("ra <> rb and (ga <> gb or a < b)").select("a", "b")
@@ -263,6 +263,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return roots.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "id", "doc_id")).alias("component_id"))
 
 
+def _bits(token: Column) -> list[Column]:
+    """A group's tokens as ``BITS`` bits in longs: narrow, of one width whatever the length of the text."""
+    at = F.pmod(token, F.lit(BITS)).cast("int")
+    one = F.expr(f"shiftleft(1L, cast(pmod(token, {BITS}) as int) % 64)")
+    return [F.coalesce(F.bit_or(F.when(F.floor(at / 64) == k, one)), F.lit(0)).cast("long").alias(f"bits{k}") for k in range(BITS // 64)]
+
+
+def _most_shared() -> Column:
+    """No more tokens than these are in both of x and y: each bit that one of them lacks is a token of the other's alone."""
+    alone = lambda a, b: sum((F.bit_count(F.col(f"{a}.bits{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.bits{k}")))) for k in range(BITS // 64)), F.lit(0))
+    return F.least(F.col("x.m") - alone("x", "y"), F.col("y.m") - alone("y", "x"))
+
+
 def _rest(n: Column) -> Column:
     """Tokens behind the prefix.  What two sets share beyond their prefixes lies behind the prefix that ends first."""
     return F.greatest(F.lit(0), F.ceil(n * PERCENT / 100) - _surplus(n))

@@ -474,3 +474,19 @@ def test_pipeline_stages(spark):
     empty = docs.limit(0)
     for _, stage in c.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_jaccard_long_texts_near_the_limit(spark):
+    """Long texts that just miss or just reach the limit: what is stored per open group doesn't grow with the text."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(40_000)}" for _ in range(20_000)]
+
+    def changed(k, share):
+        words = list(base)
+        for p in random.Random(k).sample(range(len(words)), int(len(words) * share)):
+            words[p] = f"x{k}_{p}"
+        return " ".join(words)
+
+    rows = [(1, changed(1, .012), "a"), (2, changed(2, .012), "a"), (3, changed(3, .03), "a"), (4, changed(4, .03), "a"), (5, " ".join(base), "a")]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs_of(spark, rows)).collect())
+    assert got == link_by_force([(i, t) for i, t, _ in rows]) and len({c for _, _, c in got}) == 3
