@@ -490,3 +490,14 @@ def test_jaccard_long_texts_near_the_limit(spark):
     rows = [(1, changed(1, .012), "a"), (2, changed(2, .012), "a"), (3, changed(3, .03), "a"), (4, changed(4, .03), "a"), (5, " ".join(base), "a")]
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs_of(spark, rows)).collect())
     assert got == link_by_force([(i, t) for i, t, _ in rows]) and len({c for _, _, c in got}) == 3
+
+
+def test_very_long_digit_runs(spark):
+    """Digit runs of thousands of signs end no query, in any kind."""
+    zeros, nines = "0" * 5000, "9" * 5000
+    rows = [(1, f"{zeros}.1.1.1 {zeros}7.{zeros}.2.{zeros}255 {nines}.1.1.1", "a"), (2, f"4{zeros} {nines} {'4111 ' * 2000}", "a"), (3, f"+1{zeros} +{nines} +1 {'2-' * 4000}3", "a"), (4, f"{'a' * 5000}@{nines}.{zeros}", "a")]
+    got = {r.doc_id: r for r in pii.find(docs_of(spark, rows)).select("row.doc_id", "spans").collect()}
+    for i, text, _ in rows:
+        base = pii.base_spans(text)
+        assert {(k, a, b) for k, a, b in base} <= {(s["kind"], s["start"], s["stop"]) for s in got[i].spans}
+    assert sum(k == "ip" for k, _, _ in pii.base_spans(rows[0][1])) == 2
