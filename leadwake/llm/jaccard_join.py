@@ -12,6 +12,7 @@ components found so far leave open.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,54 @@ MEMO_SIZE = 150_000
 BITS = 512
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_SIZE:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A word's hash is the sum of a number per byte times a power of STEP_UP per place, modulo 2^64.
+_LETTERS = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP_UP = 0x9E3779B97F4A7C15
+_STEP_DOWN = pow(_STEP_UP, -1, 1 << 64)
+#: Bytes of a text that are hashed at once; a segment ends where a word does.
+SEGMENT = 1 << 20
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of base, and what doubling them has already given."""
+    known = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(known) < n:
+        known = np.concatenate([known, known * np.uint64(pow(base, len(known), 1 << 64))])
+    _POWERS[base] = known if len(known) <= 4 * SEGMENT else known[:SEGMENT]
+    return known
+
+
+def _segment(raw: bytes) -> np.ndarray:
+    """Hashes of the words of some bytes, by running sums: no loop over words."""
+    b = np.frombuffer(raw, np.uint8)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_LETTERS[b] * _powers(_STEP_UP, len(b))[:len(b)], out=sums[1:])
+    edges = np.flatnonzero(np.diff(_IS_SPACE[b].view(np.int8), prepend=1, append=1))
+    first, end = edges[::2], edges[1::2]
+    return _mix((sums[end] - sums[first]) * _powers(_STEP_DOWN, len(b))[first])
+
+
+def word_hashes(text: str) -> np.ndarray:
+    raw = text.encode().lower()  # bytes: only A-Z change, only ASCII white space separates
+    out, start = [], 0
+    while start < len(raw):
+        cut = _SPACES.search(raw, start + SEGMENT) if len(raw) - start > SEGMENT else None
+        end = cut.start() if cut else len(raw)
+        out.append(_segment(raw[start:end]))
+        start = end
+    return np.concatenate(out) if len(out) > 1 else out[0] if out else np.zeros(0, np.uint64)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending and without repeats; a sort is faster here than a hash table."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
-_HASHES = _Hashes()
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -50,16 +90,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None) -> np.ndarray:
     """Hashes of the distinct five-word runs, ascending; of all words where there are fewer; none without words."""
-    words = text.encode().lower().split() if text else []  # bytes: only A-Z change, only ASCII white space separates
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text) if text else np.zeros(0, np.uint64)
+    if not len(h):
+        return h
     if len(h) < WORDS:
         return _mix(np.array([(h * _ODD[:len(h)]).sum() + np.uint64(len(h))], np.uint64))
     total = np.zeros(len(h) - WORDS + 1, np.uint64)
     for k in range(WORDS):
         total += h[k:len(h) - WORDS + 1 + k] * _ODD[k]
-    return np.unique(_mix(total))
+    return distinct(_mix(total))
 
 
 def surplus(n):
@@ -81,8 +120,9 @@ def frequent(docs: DataFrame) -> np.ndarray:
         for b in batches:
             found = [shingles(t) for t in b.column(0).to_pylist()]
             found = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            slots, n = np.unique((found % np.uint64(SLOTS)).astype(np.int64), return_counts=True)
-            counts[slots] += n.astype(np.uint32)
+            slots = np.sort((found % np.uint64(SLOTS)).astype(np.int64))
+            heads = np.flatnonzero(np.diff(slots, prepend=-1))
+            counts[slots[heads]] += np.diff(heads, append=len(slots)).astype(np.uint32)
             total += len(found)
         high = np.flatnonzero(counts >= 8 + 4 * total / SLOTS)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(high.astype(np.int32)), "n": pa.array(counts[high].astype(np.int64))})

@@ -501,3 +501,17 @@ def test_very_long_digit_runs(spark):
         base = pii.base_spans(text)
         assert {(k, a, b) for k, a, b in base} <= {(s["kind"], s["start"], s["stop"]) for s in got[i].spans}
     assert sum(k == "ip" for k, _, _ in pii.base_spans(rows[0][1])) == 2
+
+
+def test_word_hashes_name_words(monkeypatch):
+    """One hash per word whatever stands around it, also where a text is read in segments."""
+    words = [w.encode() for w in ("a", "b", "ab", "ba", "aa", "aaa", "é", "漢字", "x" * 500, "\x00", "\x01")]
+    alone = {w: int(jaccard_join.word_hashes(w.decode())[0]) for w in words}
+    assert len(set(alone.values())) == len(words) and alone[b"ab"] == int(jaccard_join.word_hashes(" AB\n")[0])
+    rng = random.Random(1)
+    text = "".join(rng.choice(words).decode() + rng.choice([" ", "\n", "\t\x0b ", "\r\n"]) for _ in range(3000))
+    want = [alone[w] for w in text.encode().split()]
+    for size in (7, 100, 1 << 20):
+        monkeypatch.setattr(jaccard_join, "SEGMENT", size)
+        assert jaccard_join.word_hashes(text).tolist() == want
+    assert len(jaccard_join.word_hashes("")) == 0 == len(jaccard_join.word_hashes(" \n"))
