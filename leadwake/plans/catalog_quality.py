@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leadwake.config import Liquidity, StalePrice
 from leadwake.functions.scalars import event_token, instrument_kind
-from leadwake.operators import crosscheck, instruments, quality, returns, succession, universe
+from leadwake.operators import crosscheck, instruments, mask_audit, quality, returns, succession, universe
 from leadwake.oracle.ctes import define
 from leadwake.plans import bindings as b
 from leadwake.plans.registry import register
@@ -310,3 +310,33 @@ register("dq_23_mask_audit", "instrument:s candidates:i marked:i removed:i remov
          """SELECT *, removed / candidates AS share_candidates, removed / nullif(marked, 0) AS share_marked, removed_common / nullif(common, 0) AS share_common FROM (
               SELECT coalesce(instrument, 'TOTAL') AS instrument, count(*) AS candidates, count(*) FILTER (WHERE token <> '') AS marked, count(*) FILTER (WHERE boundary) AS removed,
                      count(error) FILTER (WHERE boundary) AS removed_common, count(error) AS common FROM x_berr GROUP BY GROUPING SETS ((instrument), ()))""")
+
+
+def _states(c):
+    return c.stored("mask states", lambda: mask_audit.day_states(c.panel("month"), returns.simple_returns(_ref_panel(c)), c.windows))
+
+
+def _audit(c):
+    return mask_audit.by_window_and_band(_states(c), universe.liquidity_ranking(c.monthly, c.windows, c.cfg.liquidity), c.cfg.liquidity.bands)
+
+
+define("x_mday", """
+SELECT r.instrument, r.date, r.both_traded AND r.raw_ret IS NOT NULL AS cand, r.both_traded AND r.raw_ret IS NOT NULL AND r.boundary AS rem, r.both_traded AND f.r IS NOT NULL AS refd
+FROM x_mret r LEFT JOIN x_refret f ON f.instrument = r.instrument AND f.date = r.date""")
+define("x_maud", """
+SELECT win, band, selected, candidates, removed, with_record, with_reference, round(removed / nullif(candidates, 0), 4) AS removed_share, round(with_record / selected, 4) AS record_coverage, round(with_reference / selected, 4) AS reference_coverage
+FROM (SELECT win, band, count(*) AS selected, sum(c)::BIGINT AS candidates, sum(r)::BIGINT AS removed, count(*) FILTER (WHERE c > r) AS with_record, count(*) FILTER (WHERE y > 0) AS with_reference FROM (
+  SELECT k.win, b.band, k.instrument, count(*) FILTER (WHERE d.cand) AS c, count(*) FILTER (WHERE d.rem) AS r, count(*) FILTER (WHERE d.refd) AS y
+  FROM x_rank k JOIN x_win w ON w.win = k.win CROSS JOIN (SELECT unnest([5, 10, 15, 25]) AS band) b LEFT JOIN x_mday d ON d.instrument = k.instrument AND d.date >= w.test_start AND d.date < w.test_end
+  WHERE k.eligible AND k.position <= b.band GROUP BY ALL) GROUP BY ALL)""")
+register("dq_23_window_and_band", "win<window:s band:i selected:i candidates:i removed:i with_record:i with_reference:i removed_share:g record_coverage:g reference_coverage:g", _audit, "SELECT * FROM x_maud")
+register("dq_23_band_summary", "band:i removed_mean:f removed_max:f record_min:f record_median:f reference_min:f reference_median:f", lambda c: mask_audit.band_summary(_audit(c)),
+         """SELECT band, avg(removed_share) AS removed_mean, max(removed_share) AS removed_max, min(record_coverage) AS record_min, median(record_coverage) AS record_median,
+              min(reference_coverage) AS reference_min, median(reference_coverage) AS reference_median FROM x_maud GROUP BY 1""")
+register("dq_23_window_summary", "win<window:s removed_mean:f record_min:f reference_min:f", lambda c: mask_audit.window_summary(_audit(c)),
+         "SELECT win, avg(removed_share) AS removed_mean, min(record_coverage) AS record_min, min(reference_coverage) AS reference_min FROM x_maud GROUP BY 1")
+register("dq_23_common_support", "instrument:s record:i reference:i common:i common_share:f", lambda c: mask_audit.common_support(_states(c)),
+         """SELECT *, common / nullif(record, 0) AS common_share FROM (SELECT instrument, count(*) FILTER (WHERE cand AND NOT rem) AS record, count(*) FILTER (WHERE refd) AS reference,
+              count(*) FILTER (WHERE cand AND NOT rem AND refd) AS common FROM x_mday GROUP BY 1)""")
+register("dq_23_alerts", "win<window:s band:i alert:s", lambda c: mask_audit.alerts(_audit(c)),
+         """SELECT win, band, 'remocao_acima_do_limite' AS alert FROM x_maud WHERE removed_share > 0.15 UNION ALL SELECT win, band, 'cobertura_abaixo_do_limite' FROM x_maud WHERE record_coverage < 0.9""")
