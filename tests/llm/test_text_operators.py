@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadwake.llm import jaccard_join, ledger, metric_join, mixing, ordinal, pieces, pii, suffix_dedup, toxicity, warc
+from leadwake.session import materialize
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -208,7 +209,7 @@ def test_run_counts_by_force(spark):
         for r in {r for w in re.findall(r"\w+|[^\w\s]", (t or "").lower()) for r in toxicity.word_runs(w)}:
             want[r][k % 3] += 1
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    index = toxicity.map_arrow(docs, lambda batches: toxicity._index(batches, 300), toxicity.INDEX).localCheckpoint()
+    index = materialize(toxicity.map_arrow(docs, lambda batches: toxicity._index(batches, 300), toxicity.INDEX))
     known = index.select("chunk", F.posexplode("doc_ids").alias("pos", "doc_id")).filter("doc_id % 3 > 0").groupBy("chunk").agg(
         F.collect_list(F.struct("pos", F.expr("cast(doc_id % 3 as int)").alias("class"))).alias("known"))
     got = {r.run: [r.n_none, r.n_ordinary, r.n_toxic] for r in toxicity.run_counts(index.join(known, "chunk", "left")).collect()}
