@@ -1,102 +1,40 @@
-"""Operator 5: toxicity by class-conditional models of the characters of words.
+"""Operator 5: toxicity by class-conditional Kneser-Ney models of how words are spelled.
 
-Words are taken as they are written, in lower case and in any script, and cut into runs of 5 characters with their edges
-(of 2 in scripts without spaces).  Every document is counted once under each of its runs, in the class of its label (toxic,
-ordinary, or none).  The counts are a Spark table with one row per different run, so they grow with the corpus; nothing
-of it goes to the driver.  Both classes are interpolated with one shared model of all documents and a uniform one.
+A document is the set of its different words, in lower case and in any script; a word is spelled as ``    word `` and each
+of its characters is predicted from the four before it.  The models of toxic and of ordinary documents discount their own
+counts of 5-character grams and leave the rest to one shared Kneser-Ney model of all documents, whose lower orders are
+continuation counts (how many different characters come before a gram).  Counts, continuation counts and log-likelihood
+ratios are Spark tables with one row per different gram, so they grow with the corpus; nothing of them goes to the driver.
 
-Texts are read once and never exchanged: a chunk of documents becomes one row that lists its different runs, and which
-words and runs each document has.  Chunks fetch the counts of their runs by a join.  A document that was counted is scored
-without its own counts.  Its log-likelihood ratio per run and that of its highest runs go into a logistic curve.
+Texts are read once and never exchanged: a chunk of documents becomes one row that lists its different words and those of
+each document.  Chunks fetch the ratios of their grams by a join.  Score: a logistic curve over the log-likelihood ratio
+per symbol of the whole document and that of its highest words, fitted on labelled documents that no count has seen.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadwake.llm.common import load, map_arrow
+from leadwake.llm.common import hash_bucket, load, map_arrow
 from leadwake.session import materialize
 
-RUN, DENSE_RUN = 5, 2
-#: Characters of text in one chunk; runs that make the peak.
-CHUNK_CHARS, PEAK = 24 << 20, 3
-#: Documents' worth of the uniform model, and share of the model of all documents.
-UNIFORM, SHARED = 2.0, 0.01
-#: Of the dense model of folded symbols below; op5 doesn't use it.
-ORDER, BITS = 4, 5
-SYMBOLS, ENTRIES = 1 << BITS, 1 << (BITS * ORDER)
-#: Labelled documents, of those that may be learnt from, whose features fit the logistic curve.
-CURVE_ROWS = 20_000
-DISCOUNT = 0.75
-
-
-def _fold_table() -> np.ndarray:
-    """Symbol of each code point up to U+02FF: 0 space, 1-26 letters without accents, 27 digits, 28 signs, 29-31 other letters."""
-    table = np.zeros(0x300, np.uint32)
-    for cp in range(0x300):
-        c = unicodedata.normalize("NFD", chr(cp).lower())[0]
-        table[cp] = (0 if c.isspace() or not c.isprintable() else ord(c) - 96 if "a" <= c <= "z" else 27 if c.isdigit()
-                     else 29 + cp % 3 if c.isalpha() else 28)
-    return table
-
-
-_TABLE = _fold_table()
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all 4-symbol runs, each text led by three spaces, one code per character; and the texts' lengths."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    pad = " " * (ORDER - 1)
-    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le"), np.uint32)
-    symbols = np.where(points < 0x300, _TABLE[np.minimum(points, 0x2FF)], 29 + points % 3).astype(np.uint32)
-    codes = np.zeros(max(len(symbols) - ORDER + 1, 0), np.uint32)
-    for k in range(ORDER):
-        codes = (codes << BITS) | symbols[k:len(symbols) - ORDER + 1 + k]
-    inside = np.ones(len(codes), bool)  # codes that end in a pad are no characters
-    ends = np.cumsum(lengths + ORDER - 1)[:-1] - (ORDER - 1)
-    for k in range(ORDER - 1):
-        inside[ends + k] = False
-    return codes[inside], lengths
-
-
-def _interpolate(top: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Absolute discounting of counts over the last axis, the rest spread as ``lower`` says; lower itself without counts."""
-    total = top.sum(axis=-1, keepdims=True)
-    kinds = (top > 0).sum(axis=-1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(total > 0, np.maximum(top - DISCOUNT, 0) / total + DISCOUNT * kinds / total * lower, lower)
-
-
-def ratio_table(n_all: np.ndarray, n_ordinary: np.ndarray, n_toxic: np.ndarray) -> np.ndarray:
-    """log P(symbol | three before, toxic) - log P(... ordinary) for each code."""
-    shape = (SYMBOLS,) * ORDER
-    seen = n_all.reshape(shape) > 0
-    shared = np.full(SYMBOLS, 1 / SYMBOLS)
-    kinds = [seen]
-    while kinds[-1].ndim > 1:
-        kinds.append(kinds[-1].any(axis=0))
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different symbols precede
-        shared = _interpolate(kinds[k - 1].sum(axis=0).astype(float), shared)
-    toxic, ordinary = (_interpolate(n.reshape(shape).astype(float), shared) for n in (n_toxic, n_ordinary))
-    return (np.log(toxic) - np.log(ordinary)).reshape(-1).astype(np.float32)
-
+#: Characters of a gram, and words that make the peak.
+ORDER, PEAK = 5, 3
+#: Discount of the shared orders; of a class, whose grams in up to so many documents are left to the shared model.
+DISCOUNT, CLASS_DISCOUNT = 0.75, 3.0
+#: Characters of text in one chunk.
+CHUNK_CHARS = 24 << 20
+#: One in so many labelled documents is kept out of the counts; of these, so many at most fit the logistic curve.
+CURVE_SHARE, CURVE_ROWS = 8, 20_000
 
 _WORD = re.compile(r"\w+|[^\w\s]")
-#: Scripts that don't part words by spaces: Thai to Khmer, and from the CJK radicals to the end of Hangul, and beyond the first plane.
-_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
-INDEX = "chunk long, doc_ids array<long>, sizes binary, words binary, lengths binary, vocabulary binary"
-
-
-def word_runs(word: str) -> list[str]:
-    """The different runs of one word, led and followed by a space."""
-    n, word = DENSE_RUN if _DENSE.search(word) else RUN, f" {word} "
-    return list(dict.fromkeys(word[k:k + n] for k in range(max(1, len(word) - n + 1))))
+INDEX = "chunk long, doc_ids array<long>, sizes binary, words binary, vocabulary binary"
+GRAMS = "gram string, n_none long, n_ordinary long, n_toxic long"
 
 
 def _zip(numbers) -> bytes:
@@ -116,8 +54,8 @@ def _index(batches, chunk_chars: int = CHUNK_CHARS):
     vocabulary: dict[str, int] = {}
 
     def flush():
-        sizes = np.array([len(w) for _, w, _ in held], np.int64)
-        words, of = np.concatenate([w for _, w, _ in held]), np.repeat(np.arange(len(sizes)), sizes)
+        sizes = np.array([len(w) for _, w in held], np.int64)
+        words, of = np.concatenate([w for _, w in held]), np.repeat(np.arange(len(sizes)), sizes)
         often = np.argsort(-np.bincount(words, minlength=len(vocabulary)), kind="stable")
         number = np.empty(len(often), np.int64)
         number[often] = np.arange(len(often))
@@ -127,13 +65,13 @@ def _index(batches, chunk_chars: int = CHUNK_CHARS):
         steps[starts] = words[starts]
         named = list(vocabulary)
         return pa.RecordBatch.from_pydict({
-            "chunk": pa.array([(task << 32) + made], pa.int64()), "doc_ids": pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), "sizes": [_zip(sizes)],
-            "words": [_zip(steps)], "lengths": [_zip([n for _, _, n in held])], "vocabulary": [zlib.compress("\n".join(named[k] for k in often).encode(errors="surrogatepass"), 3)]})
+            "chunk": pa.array([(task << 32) + made], pa.int64()), "doc_ids": pa.array([[d for d, _ in held]], pa.list_(pa.int64())), "sizes": [_zip(sizes)],
+            "words": [_zip(steps)], "vocabulary": [zlib.compress("\n".join(named[k] for k in often).encode(errors="surrogatepass"), 3)]})
 
     for b in batches:
         for doc, text in zip(*(c.to_pylist() for c in b.columns)):
             text = text or ""
-            held.append((doc, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in set(_WORD.findall(text.lower()))], np.int32), len(text)))
+            held.append((doc, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in set(_WORD.findall(text.lower()))], np.int32)))
             size += len(text) + 64
             if size >= chunk_chars:
                 yield flush()
@@ -142,26 +80,42 @@ def _index(batches, chunk_chars: int = CHUNK_CHARS):
         yield flush()
 
 
-def _runs(row: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The different runs of a chunk in an order of their own, the number of them in each word, and which."""
-    runs: dict[str, int] = {}
-    text = zlib.decompress(row["vocabulary"]).decode(errors="surrogatepass")
-    links = [[runs.setdefault(r, len(runs)) for r in word_runs(w)] for w in text.split("\n")] if text else []
-    return list(runs), np.array([len(x) for x in links], np.int64), np.array([r for x in links for r in x], np.int64)
-
+def spelled(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different grams of these words, the number of symbols of each word, and the gram of each symbol.
 
-def _pairs(row: dict, n_runs: int, spread: np.ndarray, links: np.ndarray):
-    """Blocks of a chunk: (first document, last + 1, document and run of each different pair), by document."""
-    sizes, steps = _unzip(row["sizes"]), _unzip(row["words"])
-    stops, ends, running = np.cumsum(sizes), np.cumsum(spread), np.cumsum(steps)
-    words = running - np.repeat(np.concatenate(([0], running))[stops - sizes], sizes)
-    for a in range(0, len(sizes), 256):
-        z = min(a + 256, len(sizes))
-        mine, of = words[stops[a] - sizes[a]:stops[z - 1]], np.repeat(np.arange(a, z), sizes[a:z])
-        n = spread[mine]
-        at = np.repeat(ends[mine] - np.cumsum(n), n) + np.arange(n.sum())
-        pairs = np.unique(np.repeat(of, n) * n_runs + links[at])
-        yield a, z, pairs // max(n_runs, 1), pairs % max(n_runs, 1)
+    Windows of code points are numbered exactly: by packing ranks of the characters where ORDER of them fit into 62 bits,
+    else symbol by symbol.
+    """
+    if not words:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pad = " " * (ORDER - 1)
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    raw = "".join(f"{pad}{w} " for w in words).encode("utf-32-le", "surrogatepass")
+    points = np.frombuffer(raw, np.uint32)
+    alphabet, ranks = np.unique(points, return_inverse=True)
+    ranks, many = ranks.astype(np.int64), len(alphabet)
+    starts = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)  # of words, and of the window that predicts each symbol
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    code = ranks[at]
+    for k in range(1, ORDER):
+        if many ** (k + 1) >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+        code = code * many + ranks[at + k]
+    _, first, number = np.unique(code, return_index=True, return_inverse=True)
+    text = points[at[first][:, None] + np.arange(ORDER)].tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[k:k + ORDER] for k in range(0, len(text), ORDER)], sizes, number
+
+
+def _vocabulary(raw: bytes) -> list[str]:
+    text = zlib.decompress(raw).decode(errors="surrogatepass")
+    return text.split("\n") if text else []
+
+
+def _members(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Document and word of every entry of a chunk, by document."""
+    sizes, running = _unzip(row["sizes"]), np.cumsum(_unzip(row["words"]))
+    words = running - np.repeat(np.concatenate(([0], running))[np.cumsum(sizes) - sizes], sizes)
+    return np.repeat(np.arange(len(sizes)), sizes), words
 
 
 def _classes(row: dict) -> np.ndarray:
@@ -174,69 +128,88 @@ def _classes(row: dict) -> np.ndarray:
 def _count(batches):
     for b in batches:
         for row in b.to_pylist():
-            runs, *parts = _runs(row)
-            total, classes = np.zeros((3, len(runs)), np.int64), _classes(row)
-            for _, _, doc, run in _pairs(row, len(runs), *parts):
-                np.add.at(total, (classes[doc], run), 1)
-            yield pa.RecordBatch.from_pydict({"run": pa.array(runs, pa.string()), **{n: pa.array(total[k]) for k, n in enumerate(("n_none", "n_ordinary", "n_toxic"))}})
+            words = _vocabulary(row["vocabulary"])
+            grams, sizes, number = spelled(words)
+            doc, word = _members(row)
+            per_word = np.bincount(_classes(row)[doc] * max(len(words), 1) + word, minlength=3 * len(words)).reshape(3, -1)
+            total = [np.bincount(number, np.repeat(n, sizes), len(grams)).astype(np.int64) if len(grams) else [] for n in per_word]
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.string()), **{n: pa.array(total[k], pa.int64()) for k, n in enumerate(("n_none", "n_ordinary", "n_toxic"))}})
 
 
 def _with_classes(index: DataFrame, placed: DataFrame) -> DataFrame:
     return index.join(placed.hint("merge"), "chunk", "left")
 
 
-def run_counts(indexed: DataFrame) -> DataFrame:
-    """(run, n_none, n_ordinary, n_toxic): documents of each class that have the run; one row per different run."""
-    per_chunk = map_arrow(indexed, _count, "run string, n_none long, n_ordinary long, n_toxic long")
-    return per_chunk.groupBy("run").agg(*[F.sum(c).alias(c) for c in ("n_none", "n_ordinary", "n_toxic")])
+def gram_counts(indexed: DataFrame) -> DataFrame:
+    """(gram, n_none, n_ordinary, n_toxic): how often the different words of each class's documents have the gram."""
+    per_chunk = map_arrow(indexed, _count, GRAMS)
+    return per_chunk.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n_none", "n_ordinary", "n_toxic")])
+
 
+def _discounted(counts: DataFrame, order: int, discounts: dict[str, float]) -> DataFrame:
+    """gram, lower (its last order - 1 characters), and for each count n of it: what its discount keeps, over all grams of the
+    same history (keep_n), and the share left to the lower order (rest_n), 1 for a history without n."""
+    history = counts.groupBy(F.substring("gram", 1, order - 1).alias("history")).agg(
+        *[F.sum(n).cast("double").alias(f"all_{n}") for n in discounts], *[F.sum(F.least(F.col(n).cast("double"), F.lit(d))).alias(f"cut_{n}") for n, d in discounts.items()])
+    both = counts.withColumn("history", F.substring("gram", 1, order - 1)).join(history, "history")
+    keep = [F.when(F.col(f"all_{n}") > 0, F.greatest(F.col(n) - d, F.lit(0.0)) / F.col(f"all_{n}")).otherwise(0.0).alias(f"keep_{n}") for n, d in discounts.items()]
+    rest = [F.when(F.col(f"all_{n}") > 0, F.col(f"cut_{n}") / F.col(f"all_{n}")).otherwise(1.0).alias(f"rest_{n}") for n in discounts]
+    return both.select("gram", F.substring("gram", 2, order - 1).alias("lower"), *keep, *rest)
 
-def log_ratio(n_all, n_ordinary, n_toxic, of_all, of_ordinary, of_toxic) -> np.ndarray:
-    """log P(run | toxic) - log P(run | ordinary); a run that no labelled document has gets 0."""
-    rest = UNIFORM / max(of_ordinary + of_toxic, 1) + SHARED * n_all / max(of_all, 1)
-    return np.log(n_toxic / max(of_toxic, 1) + rest) - np.log(n_ordinary / max(of_ordinary, 1) + rest)
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(gram, ratio): log P(last character | those before, toxic) - log P(... | ordinary), for every gram of ``gram_counts``.
+
+    Every order is a group-by of the one above it; both classes back off to the shared model of all documents.
+    """
+    levels = {ORDER: counts.withColumn("n", F.expr("n_none + n_ordinary + n_toxic"))}
+    for k in range(ORDER - 1, 0, -1):  # continuation counts
+        levels[k] = materialize(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
+    total = levels[1].agg(F.sum("n")).first()[0]
+    # What is discounted here goes evenly to the same characters, so nothing is.
+    lower = levels[1].select(F.col("gram").alias("lower"), (F.col("n") / float(max(total or 0, 1))).alias("p"))
+    for k in range(2, ORDER + 1):
+        used = {"n": DISCOUNT, **({"n_ordinary": CLASS_DISCOUNT, "n_toxic": CLASS_DISCOUNT} if k == ORDER else {})}
+        kept = [f"{a}_{n}" for n in used if n != "n" for a in ("keep", "rest")]
+        shared = _discounted(levels[k], k, used).join(lower, "lower").select("gram", *kept, F.expr("keep_n + rest_n * p").alias("p"))
+        lower = shared.select(F.col("gram").alias("lower"), "p")
+    return shared.select("gram", F.expr("ln(keep_n_toxic + rest_n_toxic * p) - ln(keep_n_ordinary + rest_n_ordinary * p)").alias("ratio"))
 
 
 def _wanted(batches):
     for b in batches:
         for row in b.to_pylist():
-            runs = _runs(row)[0]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(runs), row["chunk"])), "pos": pa.array(np.arange(len(runs), dtype=np.int32)), "run": pa.array(runs, pa.string())})
-
-
-def features(index: DataFrame, placed: DataFrame, counts: DataFrame, of: tuple[int, int, int]) -> DataFrame:
-    """(doc_id, mean, peak, length): the ratio of all runs of a document, and of its highest ones."""
-    wanted = map_arrow(index.select("chunk", "vocabulary"), _wanted, "chunk long, pos int, run string")
-    got = wanted.join(counts.hint("merge"), "run").groupBy("chunk").agg(F.collect_list(F.struct("pos", "n_none", "n_ordinary", "n_toxic")).alias("found"))
-
-    def run(batches):
-        for b in batches:
-            found = b.column(b.schema.get_field_index("found"))
-            for k, row in enumerate(b.drop_columns(["found"]).to_pylist()):
-                runs, *parts = _runs(row)
-                n = np.zeros((3, len(runs)), np.int64)
-                flat = found.slice(k, 1).flatten()
-                if len(flat):
-                    at, *values = (x.to_numpy(zero_copy_only=False) for x in flat.flatten())
-                    n[:, at] = values
-                classes, lengths = _classes(row), _unzip(row["lengths"])
-                mean, peak = np.zeros(len(classes)), np.zeros(len(classes))
-                for a, z, doc, of_run in _pairs(row, len(runs), *parts):
-                    kind = classes[doc]
-                    ratio = np.zeros(len(doc))
-                    for c in range(3):  # without the document itself
-                        mine, own = kind == c, np.arange(3) == c
-                        none, ordinary, toxic = n[:, of_run[mine]] - own[:, None]
-                        less = np.array(of) - own
-                        ratio[mine] = log_ratio(none + ordinary + toxic, ordinary, toxic, less.sum(), less[1], less[2])
-                    stops = np.searchsorted(doc, np.arange(a, z + 1))
-                    for d in range(a, z):
-                        r = ratio[stops[d - a]:stops[d - a + 1]]
-                        if len(r):
-                            mean[d], peak[d] = r.mean(), np.partition(r, -min(PEAK, len(r)))[-PEAK:].mean()
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_ids"], pa.int64()), "mean": pa.array(mean), "peak": pa.array(peak), "length": pa.array(np.log1p(lengths))})
-
-    return map_arrow(_with_classes(index, placed).join(got.hint("merge"), "chunk", "left"), run, "doc_id long, mean double, peak double, length double")
+            grams = spelled(_vocabulary(row["vocabulary"]))[0]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(grams), row["chunk"], np.int64)), "pos": pa.array(np.arange(len(grams), dtype=np.int32)), "gram": pa.array(grams, pa.string())})
+
+
+def _features(batches):
+    for b in batches:
+        found = b.column(b.schema.get_field_index("found"))
+        for k, row in enumerate(b.drop_columns(["found"]).to_pylist()):
+            grams, sizes, number = spelled(_vocabulary(row["vocabulary"]))
+            ratio, flat = np.zeros(len(grams)), found.slice(k, 1).flatten()
+            if len(flat):
+                at, values = (x.to_numpy(zero_copy_only=False) for x in flat.flatten())
+                ratio[at] = values
+            of = np.bincount(np.repeat(np.arange(len(sizes)), sizes), ratio[number], len(sizes)) if len(grams) else np.zeros(0)
+            doc, word = _members(row)
+            n = len(row["doc_ids"])
+            whole = np.bincount(doc, of[word], n) / np.maximum(np.bincount(doc, sizes[word], n), 1)
+            each = of[word] / sizes[word]
+            order = np.lexsort((-each, doc))
+            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            top = rank < PEAK  # the same places as in doc, which is sorted
+            peak = np.bincount(doc[top], each[order][top], n) / np.maximum(np.bincount(doc[top], minlength=n), 1)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_ids"], pa.int64()), "whole": pa.array(whole), "peak": pa.array(peak)})
+
+
+def features(index: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(doc_id, whole, peak): log-likelihood ratio per symbol of all different words of a document, and the mean of that of
+    its PEAK highest words; 0 without words."""
+    wanted = map_arrow(index.select("chunk", "vocabulary"), _wanted, "chunk long, pos int, gram string")
+    got = wanted.join(ratios.hint("merge"), "gram").groupBy("chunk").agg(F.collect_list(F.struct("pos", "ratio")).alias("found"))
+    return map_arrow(index.join(got.hint("merge"), "chunk", "left"), _features, "doc_id long, whole double, peak double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -244,6 +217,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def for_curve(doc_id: Column) -> Column:
+    """Labelled documents that no class counts: the curve is fitted on them."""
+    return hash_bucket(doc_id, 5, CURVE_SHARE) == 0
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Newton's method with a light ridge; x has a column of ones."""
     w = np.zeros(x.shape[1])
@@ -261,8 +239,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, held_out, score in [0, 1], predicted, one row per document.
 
     Labels are read from rows that are not held out; of repeated labels for an id the largest counts, null ones don't.
-    A null text counts as empty; an empty one has ratio 0 and length 0 and is scored by the curve.  Without labels of both
-    kinds every score is 0.  Repeated documents are scored one by one.  Other columns are not read.
+    A null text counts as empty; an empty one has ratios of 0 and is scored by the curve.  Where the labels that the curve is
+    fitted on are not of both kinds every score is 0.  Repeated documents are scored one by one.  Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -270,25 +248,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = materialize(known)
     index = materialize(map_arrow(docs.select("doc_id", "text"), _index, INDEX))
     # One plan at every size: labels are dealt with the ids, never broadcast.
-    placed = index.select("chunk", F.posexplode("doc_ids").alias("pos", "doc_id")).join(known.hint("shuffle_hash"), "doc_id")
+    placed = index.select("chunk", F.posexplode("doc_ids").alias("pos", "doc_id")).join(known.filter(~for_curve(F.col("doc_id"))).hint("shuffle_hash"), "doc_id")
     placed = placed.groupBy("chunk").agg(F.collect_list(F.struct("pos", F.when(F.col("toxic") > 0, 2).otherwise(1).alias("class"))).alias("known"))
-    placed = materialize(placed)
-    every = index.agg(F.sum(F.size("doc_ids"))).first()[0] or 0
-    learnt, toxic = (int(x or 0) for x in placed.agg(F.sum(F.size("known")), F.sum(F.size(F.filter("known", lambda x: x["class"] == 2)))).first())
-    counted = materialize(run_counts(_with_classes(index, placed)))
-    docs.sparkSession.sparkContext._jvm.java.lang.System.gc()  # lets Spark drop the shuffle files of what is written
-    found = materialize(features(index, placed, counted, (every - learnt, learnt - toxic, toxic)))
-    sample = known.orderBy(F.xxhash64("doc_id")).limit(curve_rows)
-    fit = found.join(sample, "doc_id").select("mean", "peak", "length", "toxic").toArrow()
+    counted = materialize(gram_counts(_with_classes(index, placed)))
+    found = materialize(features(index, materialize(log_ratios(counted))))
+    sample = known.filter(for_curve(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(curve_rows)
+    fit = found.join(sample, "doc_id").select("whole", "peak", "toxic").toArrow()
     y = (fit["toxic"].to_numpy() > 0).astype(float)
     if len(y) == 0 or y.min() == y.max():
         score = F.lit(0.0)
     else:
-        x = np.column_stack([fit[c].to_numpy() for c in ("mean", "peak", "length")])
+        x = np.column_stack([fit[c].to_numpy() for c in ("whole", "peak")])
         centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         w = _logistic(np.column_stack([(x - centre) / scale, np.ones(len(x))]), y)
         slope = w[:-1] / scale
-        margin = sum((F.col(c) * float(s) for c, s in zip(("mean", "peak", "length"), slope)), F.lit(float(w[-1] - slope @ centre)))
+        margin = sum((F.col(c) * float(s) for c, s in zip(("whole", "peak"), slope)), F.lit(float(w[-1] - slope @ centre)))
         score = 1 / (1 + F.exp(-F.greatest(F.least(margin, F.lit(30.0)), F.lit(-30.0))))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
