@@ -120,6 +120,26 @@ def test_mixing_targets_and_reruns(spark):
     assert {r.copies for r in mixing.mix(docs_of(spark, [(1, None, "a"), (2, "", None)])).collect()} == {0}
 
 
+def test_mixing_splits_equal_rows(spark):
+    """500 equal rows without an id are no block: as many are taken as fit, and reruns take as many."""
+    same = " ".join(["equal"] * 25)
+    rows = [(None, same, "a")] * 500 + [(k, " ".join(["word"] * 10), "a") for k in range(100)] + [(1000 + k, "some more words here", "b") for k in range(900)]
+    rows += [(7, "three times one", "c")] * 30 + [(None, "", "c")] * 4
+    counts = []
+    for parts in (1, 6):
+        found = mixing.mix(docs_of(spark, rows).repartition(parts)).collect()
+        assert len(found) == len(rows)
+        for source in "abc":
+            mine = [r for r in found if r.source == source]
+            assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) <= max(r.size for r in mine) / 2 or mine[0].target == 3 * mine[0].source_size
+            assert max(r.copies for r in mine) <= 3 and max(r.copies for r in mine) - min(r.copies for r in mine) <= 1
+        counts.append(sorted((repr(r.id), r.source, r.size, r.copies) for r in found))
+    assert counts[0] == counts[1]
+    split = {r.copies for r in found if r.source == "a" and r.id is None}
+    assert len(split) == 2, "the cut lies among the equal rows"
+
+
+
 # ---- 4 ---------------------------------------------------------------------------------------
 def test_ledger_against_plain_python(spark, given):
     rows = EDGES + [(i, t, "a") for i, t in given] + [(90 + k, "to be or not to be to be or\nx\nx\n\n \nx", "a") for k in range(2)]
