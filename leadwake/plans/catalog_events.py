@@ -241,6 +241,28 @@ register("txt_04_extraction_summary", "status:s documents:i pages:i", lambda c:
               FROM (SELECT doc_id, page, {NORM.format(t='raw')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS page FROM documents)) GROUP BY 1) GROUP BY 1""")
 
 
+def _page_files(c):
+    """Pages as bytes, some of them damaged or in an encoding that nobody knows."""
+    line, m = F.encode("text", "UTF-8"), F.col("n_chars") % 11
+    p = c.table("documents").select("doc_id", "n_chars", F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    return p.select("doc_id", "page", F.when((m == 3) & (F.col("page") == 0), F.concat(line, F.unhex(F.lit("FF")))).otherwise(line).alias("content"),
+                    F.when((m == 5) & (F.col("page") == F.col("n_chars") % 2), F.lit("no-such")).alias("encoding"))
+
+
+define("x_batch", f"""
+SELECT doc_id, error, CASE WHEN error <> '' THEN 0 ELSE pages END AS pages, CASE WHEN error <> '' THEN 0 ELSE filled END AS pages_with_text, CASE WHEN error <> '' THEN 0 ELSE length(t) END AS characters,
+  CASE WHEN error <> '' THEN '' ELSE sha256(t) END AS sha256,
+  CASE WHEN error <> '' THEN 'erro' WHEN t = '' THEN 'sem_texto' WHEN length(t) < 200 THEN 'texto_insuficiente' ELSE 'ok' END AS status
+FROM (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE line <> '') AS filled, coalesce(string_agg(CASE WHEN line <> '' THEN line END, chr(10) || chr(10) ORDER BY page), '') AS t,
+    coalesce(arg_min(failure, page) FILTER (WHERE failure IS NOT NULL), '') AS error
+  FROM (SELECT doc_id, page, {NORM.format(t='raw')} AS line, CASE WHEN n_chars % 11 = 3 AND page = 0 THEN 'UnicodeDecodeError: ''utf-8'' codec can''t decode byte 0xff in position ' || strlen(raw) || ': invalid start byte'
+      WHEN n_chars % 11 = 5 AND page = n_chars % 2 THEN 'LookupError: unknown encoding: no-such' END AS failure
+    FROM (SELECT doc_id, n_chars, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS page FROM documents)) GROUP BY 1)""")
+register("txt_04_batch_extraction", "doc_id:i pages:i pages_with_text:i characters:i sha256:s status:s error:s", lambda c: text.extract_batch(_page_files(c)), "SELECT * FROM x_batch")
+register("txt_04_batch_summary", "status:s documents:i", lambda c: text.batch_summary(text.extract_batch(_page_files(c))), "SELECT status, count(*) AS documents FROM x_batch GROUP BY 1")
+register("txt_04_review", "doc_id:i status:s error:s", lambda c: text.review_rows(text.extract_batch(_page_files(c))), "SELECT doc_id, status, error FROM x_batch WHERE status <> 'ok'")
+
+
 def responses(c):
     """Label responses derived from documents and labels, with every kind of contract breach."""
     d = c.table("documents").join(b.document_labels(c.spark, c.sf), "doc_id").filter("status = 'ok'")
