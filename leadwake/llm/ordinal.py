@@ -9,7 +9,7 @@ scored by one pass over the words and a memo of their weights.
 from __future__ import annotations
 
 import re
-import uuid
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
@@ -104,11 +104,9 @@ def learn(docs: DataFrame, ratings: DataFrame, levels: int, rows: int = FIT_ROWS
     return fit(vectors, grades, levels)
 
 
-#: Word weights of the model that this worker last used.
-_MEMOS: dict[str, dict] = {}
-
-
 class _Weights(dict):
+    """Weights of words, found once each."""
+
     def __init__(self, weights: np.ndarray):
         super().__init__()
         self.weights = weights
@@ -122,20 +120,18 @@ class _Weights(dict):
 
 def _score_udf(spark, weights: np.ndarray):
     sent = spark.sparkContext.broadcast(weights)  # SLOTS numbers
-    model = uuid.uuid4().hex
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        weights, out = sent.value, []
-        if model not in _MEMOS:
-            _MEMOS.clear()
-            _MEMOS[model] = _Weights(weights)
-        memo = _MEMOS[model]
-        for t in texts.to_pylist():
-            words = _WORDS.findall(t or "")
-            s = SCALE * sum(map(memo.__getitem__, words)) / max(len(words), 1)
-            out.append(s + sum(float(weights[k]) * v for k, v in text_slots(words)))
-        return pa.array(out, pa.float64())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights = sent.value
+        memo = _Weights(weights)  # given back with the partition: workers live on into later stages
+        for texts in batches:
+            out = []
+            for t in texts.to_pylist():
+                words = _WORDS.findall(t or "")
+                s = SCALE * sum(map(memo.__getitem__, words)) / max(len(words), 1)
+                out.append(s + sum(float(weights[k]) * v for k, v in text_slots(words)))
+            yield pa.array(out, pa.float64())
 
     return score
 
