@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadwake.operators import agreement, sampling
+from leadwake.operators import agreement, digest, sampling
 from leadwake.oracle.ctes import define
 from leadwake.plans import bindings as b
 from leadwake.plans.registry import register
@@ -73,6 +73,14 @@ register("evl_01_label_contract", "check:s rows:i violations:i", _contract,
             UNION ALL SELECT 'rotulo_sem_documento', (SELECT count(*) FROM documents), 0 UNION ALL SELECT 'hash_de_texto_diferente', (SELECT count(*) FROM documents), (SELECT count(*) FROM l WHERE n_chars > 15000)
             UNION ALL SELECT 'status_desconhecido', (SELECT count(*) FROM l), 0 UNION ALL SELECT 'abstencao_incoerente', (SELECT count(*) FROM l WHERE status = 'ok'), 0
             UNION ALL SELECT 'nao_especifico_com_direcao', (SELECT count(*) FROM l WHERE status = 'ok'), 0""")
+_BATCH = ("doc_id", "status", "specific", "direction")
+register("evl_01_batch_digest", "rows:i digest:s", lambda c: digest.table_digest(b.document_labels(c.spark, c.sf), list(_BATCH)),
+         f"""WITH r AS (SELECT sha256(concat_ws(';', {', '.join(f"CASE WHEN {c} IS NULL THEN '-' ELSE length({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in _BATCH)})) AS name FROM x_lab),
+                 n AS (SELECT name, count(*) AS rows FROM r GROUP BY 1),
+                 a AS (SELECT left(name, 9) AS name, sum(rows) AS n, sha256(string_agg(name || ':' || rows || ':', ',' ORDER BY name)) AS d FROM n GROUP BY 1),
+                 b AS (SELECT left(name, 6) AS p, sum(n) AS n, sha256(string_agg(name || ':' || n || ':' || d, ',' ORDER BY name)) AS d FROM a GROUP BY 1),
+                 c AS (SELECT left(p, 3) AS q, sum(n) AS n, sha256(string_agg(p || ':' || n || ':' || d, ',' ORDER BY p)) AS d FROM b GROUP BY 1)
+            SELECT sum(n) AS rows, sha256(string_agg(q || ':' || n || ':' || d, ',' ORDER BY q)) AS digest FROM c""")
 # The greedy sample has no SQL form; tests compare it with brute force.
 register("evl_02_blind_sample", "doc_id:i issuer:s year:i direction:s sample_order:i", lambda c: sampling.blind_sample(_sample_input(c), 30, 20260811), None)
 register("evl_03_rater_sheets", "doc_id:i anon_id:s rater:s position:i",
