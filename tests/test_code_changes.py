@@ -47,3 +47,20 @@ def test_a_crowd_is_one_link_of_cells(spark):
     assert [(r["old_n"], r["new_n"]) for r in link] == [(2000, 2000)]
     assert succession._box_join(succession._classes(old), succession._classes(new)).count() == 1
     assert {r["label"] for r in succession.change_lineages(ends).collect()} == {"C0000"}
+
+
+def test_rule_b_and_its_review_equal_brute_force(spark):
+    rows = codes(3)
+    ends = spark.createDataFrame([(*r, 5, 1.0, 2.0) for r in rows], FIELDS + ", records long, first_trades double, last_trades double").localCheckpoint()
+    a = {(r["old"], r["new"]) for r in succession.same_name_changes(ends).collect()}
+    want = {(o[0], n[0]) for o in rows for n in rows
+            if 1 <= (n[2] - o[3]).days <= 15 and min(o[4], o[5], n[4], n[5], o[7], n[6]) > 0 and abs(n[4] / o[5] - 1) <= 0.15 and 1 / 3.0 <= n[6] / o[7] <= 3} - a
+    got = [(r["old"], r["new"]) for r in succession.continuous_changes(ends, succession.same_name_changes(ends)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    best = spark.createDataFrame([(r[0], 100 + k % 30, "w", 1) for k, r in enumerate(rows) if k % 3], "instrument string, best_position int, best_window string, windows_eligible int")
+    place = {r[0]: 100 + k % 30 for k, r in enumerate(rows) if k % 3}
+    calendar = spark.createDataFrame([(date(2020, 1, 1) + timedelta(days=k), k) for k in range(4000)], "date date, pos int")
+    review = {(r["old"], r["new"]): (r["criterion"], r["gap_sessions"]) for r in succession.review_table(ends, best, calendar).collect()}
+    day = {r[0]: (r[2], r[3]) for r in rows}
+    low = {p: min(place.get(p[0], 10**9), place.get(p[1], 10**9)) for p in want | a}
+    assert review == {(o, n): ("top100+ponta_curta" if low[o, n] <= 100 else "top120+ponta_curta", (day[n][0] - day[o][1]).days) for o, n in low if low[o, n] <= 120}
