@@ -27,14 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind in angle brackets; n_chars follows the new text."""
-    @F.arrow_udf("string")
-    def cover(texts, spans):
-        import pyarrow as pa
-
-        return pa.array([t if not s else pii.redact(t, [(x["kind"], x["start"], x["stop"]) for x in s]) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
-
-    found = pii.find(docs).select("row", F.when(F.size("spans") > 0, cover(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text")).alias("new"))
-    columns = {"text": F.col("new"), "n_chars": F.when(F.col("new").isNotNull(), F.length("new")).cast("long")}
+    found = pii.redacted(docs)
+    columns = {"text": F.col("redacted"), "n_chars": F.when(F.col("redacted").isNotNull(), F.length("redacted")).cast("long")}
     return found.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 

@@ -267,31 +267,54 @@ def added_spans(text: str, spans, weights: dict[str, float]) -> list[tuple[str,
     return out
 
 
+def all_spans(text: str | None, weights: dict[str, float]) -> list[tuple[str, int, int, bool]]:
+    """Base spans and those that the field adds, by kind as listed and then start; the last item tells base ones."""
+    base = base_spans(text) if text else []
+    more = added_spans(text, base, weights) if text and weights else []
+    return sorted([(*s, True) for s in base] + [(*s, False) for s in more], key=lambda s: (KINDS.index(s[0]), s[1]))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
     """row and spans, an array of (kind, start, stop, base) in code points, by kind as listed and then start.
 
     ``row`` is the whole input row as a struct, so other columns may have any name.  A null or empty text has no spans.
     Rows with equal ids are searched one by one.  Without documents to learn from only base spans are found.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model = learn(plain) if weights is None else weights
+    model = learn(_plain(docs, id_col, text_col)) if weights is None else weights
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_())])
 
     @F.arrow_udf("array<struct<kind:string,start:int,stop:int,base:boolean>>")
     def search(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            base = base_spans(t) if t else []
-            more = added_spans(t, base, model) if t and model else []
-            both = [(*s, True) for s in base] + [(*s, False) for s in more]
-            out.append([dict(zip(("kind", "start", "stop", "base"), s)) for s in sorted(both, key=lambda s: (KINDS.index(s[0]), s[1]))])
-        return pa.array(out, pa.list_(item))
-
-    conf = docs.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(512, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
+        return pa.array([[dict(zip(("kind", "start", "stop", "base"), s)) for s in all_spans(t, model)] for t in texts.to_pylist()], pa.list_(item))
+
+    _short_batches(docs.sparkSession)
     return docs.select(F.struct("*").alias("row")).withColumn("spans", search(F.col(f"row.{text_col}").cast("string")))
 
 
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
+    """row and redacted, the text without the spans that ``find`` gives; a null text stays null.
+
+    Search and replacement are one Python step: a second one over the spans would hold a second worker beside each task, and
+    both live on into later stages with what those load.
+    """
+    model = learn(_plain(docs, id_col, text_col)) if weights is None else weights
+
+    @F.arrow_udf("string")
+    def cover(texts: pa.Array) -> pa.Array:
+        return pa.array([t and redact(t, [s[:3] for s in all_spans(t, model)]) for t in texts.to_pylist()], pa.string())
+
+    _short_batches(docs.sparkSession)
+    return docs.select(F.struct("*").alias("row")).withColumn("redacted", cover(F.col(f"row.{text_col}").cast("string")))
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _short_batches(spark) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(512, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
+
+
 def redact(text: str, spans) -> str:
     """The text with each span replaced by its kind in angle brackets; overlapping spans become the first one's."""
     out, at = [], 0
