@@ -30,6 +30,8 @@ STEP = 20
 MEMO_SIZE = 150_000
 #: Bits by which two prefixes are compared before their shared tokens are counted.
 BITS = 512
+#: Bits of a sketch of ids, 8 MB whatever the number of ids; the more of them, the more rows pass in vain.
+ID_BITS = 1 << 26
 
 
 _SPACES = re.compile(rb"[\x20\x09-\x0D]")
@@ -134,29 +136,89 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """doc_id, n, key of the set, mark (a hash of size and prefix) and tokens of the prefix; a token holds its frequency class
-    in the top byte.  A task gives the tokens with the first document of a mark only, so many copies cost little."""
+    """doc_id, n, key of the set and mark (a hash of size and prefix)."""
+    sent = docs.sparkSession.sparkContext.broadcast(classes)  # SLOTS bytes
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for t in b.column(1).to_pylist():
+                s = shingles(t)
+                rows.append((len(s), hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest(), _mark(_prefix(s, sent.value), len(s))))
+            n, key, mark = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.binary()), "mark": pa.array(mark, pa.int64())})
+
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, key binary, mark long")
+
+
+def _prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+    """gid (the mark), n and tokens of the prefix.  A task gives them with the first document of a mark only, so many copies
+    cost little.  Made from the texts again: stored, the tokens would take more room than all other tables here."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)  # SLOTS bytes
 
     def run(batches):
         given: set[int] = set()
         for b in batches:
             rows = []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for t in b.column(0).to_pylist():
                 s = shingles(t)
-                order = np.sort((sent.value[(s % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)))
-                head = order[:prefix_length(len(s))].astype("<u8")
-                mark = xxhash.xxh3_64_intdigest(head.tobytes(), seed=len(s)) - (1 << 63)
-                rows.append((len(s), hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest(), mark, None if mark in given else head.astype(np.int64)))
-                if len(given) >= MEMO_SIZE:
-                    given.clear()
-                if doc is not None:
+                head = _prefix(s, sent.value)
+                mark = _mark(head, len(s))
+                if len(s) and mark not in given:
+                    rows.append((mark, len(s), head.astype(np.int64)))
+                    if len(given) >= MEMO_SIZE:
+                        given.clear()
                     given.add(mark)
-            n, key, mark, head = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.binary()),
-                                              "mark": pa.array(mark, pa.int64()), "prefix": pa.array(head, pa.list_(pa.int64()))})
+            mark, n, head = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_pydict({"gid": pa.array(mark, pa.int64()), "n": pa.array(n, pa.int64()), "prefix": pa.array(head, pa.list_(pa.int64()))})
+
+    return map_arrow(docs.filter("doc_id is not null").select("text"), run, "gid long, n long, prefix array<long>")
+
+
+def _prefix(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the global order; a token holds its frequency class in the top byte."""
+    order = np.sort((classes[(s % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)))
+    return order[:prefix_length(len(s))].astype("<u8")
+
+
+def _mark(head: np.ndarray, n: int) -> int:
+    return xxhash.xxh3_64_intdigest(head.tobytes(), seed=n) - (1 << 63)
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    return (_mix(ids.astype(np.int64).view(np.uint64) * _ODD[0]) % np.uint64(ID_BITS)).astype(np.int64)
+
+
+def _id_sketch(ids: DataFrame) -> np.ndarray:
+    """The places of some ids in a row of ``ID_BITS`` bits, in bytes."""
+
+    def run(batches):
+        for b in batches:
+            place = np.unique(_places(b.column(0).to_numpy(zero_copy_only=False)))
+            word, first = np.unique(place >> 3, return_index=True)
+            bits = np.bitwise_or.reduceat(1 << (place & 7), first) if len(place) else place
+            yield pa.RecordBatch.from_pydict({"word": pa.array(word.astype(np.int32)), "bits": pa.array(bits.astype(np.int32))})
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, key binary, mark long, prefix array<long>")
+    got = map_arrow(ids, run, "word int, bits int").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # ID_BITS / 8 rows at most
+    sketch = np.zeros(ID_BITS // 8, np.uint8)
+    sketch[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint8)
+    return sketch
+
+
+def _is_in(ids: pa.Array, sketch: np.ndarray) -> np.ndarray:
+    place = _places(ids.fill_null(0).to_numpy(zero_copy_only=False))
+    return ((sketch[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _likely(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """All rows whose first column is among the sketch's ids, and few others: what a join would drop isn't dealt out for it."""
+    sent = rows.sparkSession.sparkContext.broadcast(sketch)  # ID_BITS bits
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_is_in(b.column(0), sent.value)))
+
+    return map_arrow(rows, run, rows.schema)
 
 
 def _need(n: Column) -> Column:
@@ -177,10 +239,8 @@ def _repeated(tokens: DataFrame) -> DataFrame:
     return rest.unionByName(tokens.filter(hot).distinct())
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids with the sizes of their intersection and union; ``sets`` is (id, shingles as binary)."""
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
+def verify(both: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids with the sizes of the intersection and union of their shingles (sa, sb, as binary)."""
 
     def run(batches):
         for b in batches:
@@ -201,16 +261,19 @@ def linked(verified: DataFrame) -> DataFrame:
     return verified.filter(F.col("shared") * 100 >= F.col("whole") * PERCENT).select("a", "b")
 
 
-def _shared_counts(sets: DataFrame, often: np.ndarray) -> DataFrame:
-    """(id, reach): how many of a set's shingles occur in another of the sets; frequent shingles count without a look."""
+def _shared_counts(sets: DataFrame, often: np.ndarray, ids: np.ndarray) -> DataFrame:
+    """(id, reach): how many of a set's shingles occur, at most, in another of the sets; frequent shingles count without a look.
+    Sets are those of the sketch's ids; the few others that pass, and shingles that look alike, can only raise a count."""
     sent = sets.sparkSession.sparkContext.broadcast(often)  # SLOTS bytes
+    among = sets.sparkSession.sparkContext.broadcast(ids)  # ID_BITS bits
 
     def run(batches):
         for b in batches:
+            b = b.filter(pa.array(_is_in(b.column(0), among.value)))
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = np.frombuffer(raw, "<u8")
                 hot = sent.value[(s % np.uint64(SLOTS)).astype(np.int64)] > 0
-                rest = s[~hot].view(np.int64)
+                rest = (s[~hot] >> np.uint64(24)).astype(np.int64)  # narrow rows: equal where shingles are, by chance where not
                 yield pa.RecordBatch.from_pydict({"id": np.full(len(rest) + 1, i), "token": pa.array(np.append(rest, 0), mask=np.append(np.zeros(len(rest), bool), True)),
                                                   "hot": np.append(np.zeros(len(rest), np.int64), int(hot.sum()))})
 
@@ -240,7 +303,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     twice = placed_rows.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     one_id = placed_rows.join(twice, "doc_id").select(F.col("id").alias("a"), F.col("low").alias("b"))  # rows of one id
     members = materialize(classes.select("key", "n", "id", F.col("mark").alias("gid"), F.count("*").over(W.partitionBy("mark")).alias("members")))
-    tokens = seen.filter("prefix is not null and doc_id is not null").select(F.explode("prefix").alias("token"), F.col("mark").alias("gid"), "n")
+    tokens = _prefixes(docs, often).select(F.explode("prefix").alias("token"), "gid", "n")
     rows = _repeated(tokens)
     # a group that shares too few tokens takes no part
     rows = rows.withColumn("c", F.count("*").over(W.partitionBy("gid"))).filter(F.col("c") >= _need(F.col("n")))
@@ -249,25 +312,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     inside = members.join(rows.select("gid").distinct(), "gid", "left_semi").unionByName(members.filter("members > 1")).distinct()
     wanted = materialize(inside.select("key", "id", "gid", "n"))
 
-    def whole(batches):
-        for b in batches:
-            sets = [shingles(t).astype("<u8").tobytes() for t in b.column(2).to_pylist()]
-            same = pa.array([hashlib.blake2b(s, digest_size=16).digest() == k for s, k in zip(sets, b.column(1).to_pylist())])
-            yield pa.RecordBatch.from_pydict({"id": b.column(0), "shingles": pa.array(sets, pa.binary())}).filter(same)
-
-    # One plan at every size: ids and texts are dealt by id, never broadcast.
-    texts = docs.join(wanted.select("id", "key").hint("shuffle_hash"), F.col("id") == F.col("doc_id")).select("id", "key", "text")
-    sets = materialize(map_arrow(texts, whole, "id long, shingles binary"))
-    _release(spark)
-
     # Every group against one leader: of the groups that share a token, the one with the largest share of repeated tokens.
     first = rows.groupBy("token").agg(F.max(F.struct("share", "gid", "n")).alias("top")).select("token", F.col("top.gid").alias("leader"), F.col("top.n").alias("m"))
     near = (rows.join(first, "token").filter((F.col("gid") != F.col("leader")) & _sizes_fit(F.col("n"), F.col("m")))
             .groupBy("gid", "leader").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max(F.struct("c", "leader")).alias("top")).select("gid", F.col("top.leader").alias("leader")))
     heads = wanted.groupBy("gid").agg(F.min("id").alias("head"))
-    star = (near.join(heads, "gid").withColumnRenamed("head", "a").join(heads.select(F.col("gid").alias("leader"), F.col("head").alias("b")), "leader").select("a", "b")
-            .union(wanted.join(heads, "gid").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))))
-    tried = materialize(verify(star, sets))
+    star = materialize(near.join(heads, "gid").withColumnRenamed("head", "id").join(heads.select(F.col("gid").alias("leader"), F.col("head").alias("to")), "leader").select("id", "to")
+                       .union(wanted.join(heads, "gid").filter("id <> head").select("id", F.col("head").alias("to"))))
+
+    def whole(batches):
+        for b in batches:
+            sets = [shingles(t).astype("<u8").tobytes() for t in b.column(4).to_pylist()]
+            same = pa.array([hashlib.blake2b(s, digest_size=16).digest() == k for s, k in zip(sets, b.column(1).to_pylist())])
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "to": b.column(2), "target": b.column(3), "shingles": pa.array(sets, pa.binary())}).filter(same)
+
+    # One plan at every size: ids and texts are dealt by id, never broadcast; of the texts hardly more than those asked for.
+    asked = wanted.select("id", "key").join(star, "id", "left").join(star.select(F.col("to").alias("id"), F.lit(True).alias("target")).distinct(), "id", "left")
+    texts = _likely(docs, _id_sketch(wanted.select("id"))).join(asked.hint("shuffle_hash"), F.col("id") == F.col("doc_id")).select("id", "key", "to", "target", "text")
+    sets = materialize(map_arrow(texts, whole, "id long, to long, target boolean, shingles binary"))
+    _release(spark)
+    # A set already lies beside the id it is held against, so only sets meet here.
+    ends = sets.filter("target").select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    tried = materialize(verify(sets.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"), F.col("shingles").alias("sa")).join(ends, "b")))
     links = materialize(linked(tried).union(one_id))
     found = components(links)
 
@@ -275,14 +341,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     placed = wanted.join(found, F.col("id") == F.col("node"), "left").select("id", "gid", "n", F.coalesce("root", "id").alias("root"))
     placed = materialize(placed)
     spread = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    marked = rows.join(spread, "gid")
+    marked = rows.select("token", "gid", "n").join(spread, "gid")
     mixed = marked.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
-    marked = materialize(marked.join(mixed, "token", "left_semi"))
+    # What an open pair shares are such tokens only, so a group with too few of them is settled.
+    group = W.partitionBy("gid")
+    marked = marked.join(mixed, "token", "left_semi").withColumn("m", F.count("*").over(group)).filter(F.col("m") >= _need(F.col("n")))
+    marked = materialize(marked.select("*", *[c.over(group).alias(name) for name, c in _bits(F.col("token")).items()]))
     # Only shingles that another open document has can be shared; most documents with changes of their own drop out here.
-    reach = _shared_counts(sets.join(placed.join(marked.select("gid").distinct(), "gid").select("id").distinct(), "id"), often)
-    reach = placed.join(reach, "id").groupBy("gid").agg(F.max("reach").alias("reach"))
-    marked = marked.join(reach, "gid").filter(F.col("reach") * 100 >= F.col("n") * PERCENT)
-    marked = materialize(marked.join(marked.groupBy("gid").agg(F.count("*").alias("m"), *_bits(F.col("token"))), "gid"))
+    unsettled = _id_sketch(placed.join(marked.select("gid").distinct(), "gid").select("id"))
+    reach = placed.join(_shared_counts(sets, often, unsettled), "id").groupBy("gid").agg(F.max("reach").alias("reach"))
+    marked = materialize(marked.join(reach, "gid").filter(F.col("reach") * 100 >= F.col("n") * PERCENT))
     x, y = marked.alias("x"), marked.alias("y")
     enough = F.least("x.reach", "y.reach") * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
     apart = (F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))
@@ -294,20 +362,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                    .filter("c >= least").select("ga", "gb"))
     open_groups = open_groups.union(spread.filter("low < high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
     a, b = (placed.select(F.col("id").alias(i), F.col("gid").alias(g), F.col("root").alias(r)) for i, g, r in (("a", "ga", "ra"), ("b", "gb", "rb")))
-    pairs = open_groups.join(a, "ga").join(b, "gb").filter("ra <> rb and (ga <> gb or a < b)").select("a", "b")
+    pairs = materialize(open_groups.join(a, "ga").join(b, "gb").filter("ra <> rb and (ga <> gb or a < b)").select("a", "b"))
     _release(spark)
-    more = materialize(linked(verify(pairs, sets)))
+    some = _likely(sets.select("id", "shingles"), _id_sketch(pairs.select("a").union(pairs.select("b"))))
+    both = (pairs.join(some.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(some.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
+    more = materialize(linked(verify(both)))
     found = components(links.union(more))
 
     roots = placed_rows.join(found, F.col("id") == F.col("node"), "left")
     return roots.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "id", "doc_id")).alias("component_id"))
 
 
-def _bits(token: Column) -> list[Column]:
+def _bits(token: Column) -> dict[str, Column]:
     """A group's tokens as ``BITS`` bits in longs: narrow, of one width whatever the length of the text."""
     at = F.pmod(token, F.lit(BITS)).cast("int")
     one = F.expr(f"shiftleft(1L, cast(pmod(token, {BITS}) as int) % 64)")
-    return [F.coalesce(F.bit_or(F.when(F.floor(at / 64) == k, one)), F.lit(0)).cast("long").alias(f"bits{k}") for k in range(BITS // 64)]
+    return {f"bits{k}": F.bit_or(F.when(F.floor(at / 64) == k, one).otherwise(F.lit(0).cast("long"))) for k in range(BITS // 64)}
 
 
 def _most_shared() -> Column:
