@@ -21,8 +21,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of documents linked by Jaccard similarity the one with the smallest id stays; documents without words
     stay, and rows without an id."""
     found = jaccard_join.join(docs.select("doc_id", "text"))
-    gone = found.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(found.filter("component_id < doc_id").select("doc_id").distinct())
+    return jaccard_join.without(docs, gone)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

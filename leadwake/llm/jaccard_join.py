@@ -210,17 +210,25 @@ def _is_in(ids: pa.Array, sketch: np.ndarray) -> np.ndarray:
     return ((sketch[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _likely(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """All rows whose first column is among the sketch's ids, and few others: what a join would drop isn't dealt out for it."""
+def _likely(rows: DataFrame, sketch: np.ndarray, inside: bool = True) -> DataFrame:
+    """All rows whose first column is among the sketch's ids, and few others: what a join would drop isn't dealt out for it.
+    Or, not ``inside``, the rest: none of its rows has such an id."""
     sent = rows.sparkSession.sparkContext.broadcast(sketch)  # ID_BITS bits
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(_is_in(b.column(0), sent.value)))
+            yield b.filter(pa.array(_is_in(b.column(0), sent.value) == inside))
 
     return map_arrow(rows, run, rows.schema)
 
 
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose doc_id isn't in ``gone`` (doc_id); those without an id stay.  Only rows whose id may be there are dealt out."""
+    sketch = _id_sketch(gone)
+    wide = rows.select("doc_id", *[c for c in rows.columns if c != "doc_id"])
+    return _likely(wide, sketch, inside=False).unionByName(_likely(wide, sketch).join(gone, "doc_id", "left_anti")).select(*rows.columns)
+
+
 def _need(n: Column) -> Column:
     """Tokens that a prefix of a set of n shares with that of any set over the threshold."""
     return F.floor(F.ceil(n * PERCENT / 100) / STEP) + 1

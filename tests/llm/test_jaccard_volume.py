@@ -42,3 +42,18 @@ def test_sketch_loses_no_id(spark):
     assert not jaccard_join._id_sketch(spark.createDataFrame([], "id long")).any()
     rows = spark.range(10_000).selectExpr("if(id % 1000 = 5, null, id) as id", "string(id) as text")
     assert {0, 1, 7} <= {r.id for r in jaccard_join._likely(rows, sketch).collect()} < set(range(20))
+
+
+def test_only_rows_that_may_go_are_dealt_out(spark):
+    rng = random.Random(4)
+    rows = [(f"{rng.getrandbits(4000):x}", k if k % 50 else None, "x") for k in range(3000)]
+    docs = materialize(spark.createDataFrame(rows + rows[:60], "text string, doc_id long, lang string").repartition(3))
+    gone = materialize(spark.createDataFrame([(k,) for k in range(1, 3000, 10)] + [(9999,)], "doc_id long"))
+    width, got = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = shuffled(spark, lambda: got.extend(jaccard_join.without(docs, gone).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", width)
+    assert sorted(map(tuple, got), key=repr) == sorted((r for r in rows + rows[:60] if r[1] is None or r[1] % 10 != 1), key=repr)
+    assert moved < 0.3 * sum(len(t) for t, _, _ in rows)
