@@ -31,3 +31,9 @@ def compare(spark, folder, name, documents, labels=()):
 
 def test_literal_evidence_of_letters_beyond_ascii(spark, tmp_path):
     compare(spark, tmp_path, "txt_05_literal_evidence", list(enumerate(TEXTS)))
+
+
+def test_directions_count_blank_and_repeated_documents(spark, tmp_path):
+    documents = [*enumerate(TEXTS), (3, "another"), (None, "no id"), (40, None), (41, " ")]
+    compare(spark, tmp_path, "txt_08_labelled_directions", documents,
+            [(0, 1, 0), (1, 1, 1), (2, 0, 0), (3, 1, 0), (4, None, 1), (5, 1, None), (6, 1, 0), (6, 0, 0), (41, 1, 0), (None, 1, 0), (99, 1, 1)])
