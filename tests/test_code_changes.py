@@ -6,6 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from leadwake.operators import succession
 
 FIELDS = "instrument string, name string, first_date date, last_date date, first_price double, last_price double, first_volume double, last_volume double"
@@ -64,3 +65,26 @@ def test_rule_b_and_its_review_equal_brute_force(spark):
     day = {r[0]: (r[2], r[3]) for r in rows}
     low = {p: min(place.get(p[0], 10**9), place.get(p[1], 10**9)) for p in want | a}
     assert review == {(o, n): ("top100+ponta_curta" if low[o, n] <= 100 else "top120+ponta_curta", (day[n][0] - day[o][1]).days) for o, n in low if low[o, n] <= 120}
+
+
+def test_upsert_beside_equals_the_join(spark):
+    ends = spark.createDataFrame(codes(4), FIELDS).localCheckpoint()
+    pairs = succession.continuous_changes(ends, succession.same_name_changes(ends)).localCheckpoint()
+    assert pairs.filter(succession.rule_b_hash() != succession.diagnostic_hash(["gap_days", "confidence"])).count() == 0
+    rows = pairs.select("old", "new", succession.rule_b_hash().alias("fresh_hash"),
+                        F.when(F.col("gap_days") < 10, "antigo").otherwise(succession.rule_b_hash()).alias("stored_hash"),
+                        F.when(F.col("gap_days") % 2 == 0, "aprovada").otherwise("").alias("decision"))
+    joined = succession.mapping_upsert(rows.withColumnRenamed("fresh_hash", "diagnostic_hash"), rows.withColumnRenamed("stored_hash", "diagnostic_hash"),
+                                       ("decision",), {"decision": ""})
+    found = succession.upsert_beside(rows, ("decision",), {"decision": ""})
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.collect())) and rows.count()
+
+
+@pytest.mark.parametrize("name", ["lin_02_mapping_upsert"])
+def test_no_pair_is_shuffled_or_written_out_as_dates(spark, name):
+    """No exchange, sort or date formatting stands above the join of rule B."""
+    plan = entry.queries()[name](spark, entry.SMALL)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = {k: len(line) - len(line.lstrip(" :+-")) for k, line in enumerate(plan)}
+    join = next(k for k, line in enumerate(plan) if "Join Inner" in line and "abs((" in line)
+    above = [plan[k] for k in range(join) if depth[k] < depth[join] and all(depth[j] > depth[k] for j in range(k + 1, join + 1))]
+    assert above and not any(w in line for line in above for w in ("Join", "Aggregate", "Window", "Sort", "Repartition", "as date) as string", "cast(date_from_unix", "concat_ws", "sha2"))
