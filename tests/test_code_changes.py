@@ -80,7 +80,7 @@ def test_upsert_beside_equals_the_join(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.collect())) and rows.count()
 
 
-@pytest.mark.parametrize("name", ["dq_08_continuous_changes", "lin_02_mapping_upsert"])
+@pytest.mark.parametrize("name", ["dq_08_continuous_changes", "dq_09_review_table", "lin_02_mapping_upsert"])
 def test_no_pair_is_shuffled_or_written_out_as_dates(spark, name):
     """No exchange, sort or date formatting stands above the join of rule B."""
     plan = entry.queries()[name](spark, entry.SMALL)._jdf.queryExecution().optimizedPlan().toString().split("\n")
